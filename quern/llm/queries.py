@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash_dedup
+from . import chat_format, packing, quality_cnn, sentencepieces, simhash_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +15,29 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_cnn.score(docs, quality_cnn.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.digests(_table(spark, sf_dir, "documents"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digests(chat_format.with_probe(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_quality_cnn": op2_quality_cnn,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op9_chat_format": op9_chat_format,
 }
 
 #: SQL for the queries that SQL can express.
