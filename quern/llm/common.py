@@ -113,14 +113,54 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 LINKS = "a0 long, a1 long, b0 long, b1 long, d int"
 
 
+def _lead(own: np.ndarray, tight: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(leader, its distances to all rows, rows that no leader had taken before): each row is taken by one leader."""
+    todo, first = np.ones(len(own), dtype=bool), 0
+    while first < len(own):
+        d = distances(own, own[first])
+        yield first, d, todo
+        todo[first] = False
+        todo[d <= tight] = False
+        rest = np.flatnonzero(todo[first:])
+        first = first + int(rest[0]) if len(rest) else len(own)
+
+
+def _led_links(own: np.ndarray, tight: int, loose: int, kept: int = 3) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Links of a large bucket: a leader's with the rows it takes, and with the `kept` nearest of each earlier leader's
+    rows, as those are linked with one another; a group of near copies costs its size and not its square."""
+    by = np.full(len(own), -1, dtype=np.int64)
+    for k, (first, d, todo) in enumerate(_lead(own, tight)):
+        near = np.flatnonzero(d <= loose)
+        near = near[near != first]
+        free = near[todo[near]]
+        held = near[~todo[near]]
+        if len(held):
+            order = np.lexsort((d[held], by[held]))
+            held = held[order]
+            start = np.flatnonzero(np.r_[True, by[held][1:] != by[held][:-1]])
+            place = np.arange(len(held)) - np.repeat(start, np.diff(np.r_[start, len(held)]))
+            held = held[place < kept]
+        mine = d <= tight
+        by[np.flatnonzero(mine & todo)] = k
+        by[first] = k
+        hit = np.concatenate([free, held])
+        yield np.full(len(hit), first), hit, d[hit]
+
+
 def _links_of(words: int, tight: int, loose: int, every: int) -> Callable:
     """Streams sorted buckets and links near signatures.
 
-    Buckets of at most `every` rows: all their pairs within `loose` (a member has fewer than `every`). Larger ones:
-    leaders; the first row that is left leads, is linked with all rows within `loose` and takes those within `tight`
-    out, so that a group of near copies costs its size and not its square.
+    Buckets of at most `every` rows: all their pairs within `loose` (a member has fewer than `every`), found by comparing
+    all rows with those a few places on, whatever their bucket. Larger ones are led.
     """
 
+    def batch(node: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
+        swap = (node[i, 0] > node[j, 0]) | ((node[i, 0] == node[j, 0]) & (node[i, 1] > node[j, 1]))
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        for k in range(0, len(i), 50_000):
+            s = slice(k, k + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(node[i[s], 0]), pa.array(node[i[s], 1]), pa.array(node[j[s], 0]), pa.array(node[j[s], 1]), pa.array(d[s].astype(np.int32))], ["a0", "a1", "b0", "b1", "d"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in complete_groups(batches, ["bucket", "part"]):
             bucket, part = column(table, "bucket"), column(table, "part")
@@ -129,40 +169,26 @@ def _links_of(words: int, tight: int, loose: int, every: int) -> Callable:
             n = len(bucket)
             starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])])
             sizes = np.diff(np.r_[starts, n])
-            left, right, dist = [], [], []
             end = np.repeat(np.where(sizes <= every, starts + sizes, starts), sizes)
-            at, lag = np.arange(n), 1
-            while True:
-                at = at[at + lag < end[at]]
-                if not len(at):
-                    break
-                d = distances(sig[at], sig[at + lag])
+            flat = [np.ascontiguousarray(sig[:, w]) for w in range(words)]
+            for lag in range(1, int(sizes[sizes <= every].max(initial=0))):
+                d = np.bitwise_count(flat[0][lag:] ^ flat[0][:-lag]).astype(np.uint16)
+                for f in flat[1:]:
+                    d += np.bitwise_count(f[lag:] ^ f[:-lag])
                 hit = np.flatnonzero(d <= loose)
-                left.append(at[hit])
-                right.append(at[hit] + lag)
-                dist.append(d[hit])
-                lag += 1
-            for start, size in zip(starts[sizes > every], sizes[sizes > every], strict=True):
-                todo = np.ones(size, dtype=bool)
-                own, first = sig[start : start + size], 0
-                while first < size:
-                    todo[first] = False
-                    d = distances(own, own[first])
-                    hit = np.flatnonzero(d <= loose)
-                    hit = hit[hit != first]
-                    left.append(np.full(len(hit), start + first))
-                    right.append(start + hit)
-                    dist.append(d[hit])
-                    todo[d <= tight] = False
-                    rest = np.flatnonzero(todo[first:])
-                    first = first + int(rest[0]) if len(rest) else size
-            if left:
-                i, j, d = np.concatenate(left), np.concatenate(right), np.concatenate(dist)
-                swap = (node[i, 0] > node[j, 0]) | ((node[i, 0] == node[j, 0]) & (node[i, 1] > node[j, 1]))
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
-                for k in range(0, len(i), 50_000):
-                    s = slice(k, k + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(node[i[s], 0]), pa.array(node[i[s], 1]), pa.array(node[j[s], 0]), pa.array(node[j[s], 1]), pa.array(d[s].astype(np.int32))], ["a0", "a1", "b0", "b1", "d"])
+                hit = hit[hit + lag < end[hit]]
+                if len(hit):
+                    yield from batch(node, hit, hit + lag, d[hit])
+            for start, size in zip(starts[sizes > every].tolist(), sizes[sizes > every].tolist(), strict=True):
+                held, count = [], 0
+                for i, j, d in _led_links(sig[start : start + size], tight, loose):
+                    held.append((i + start, j + start, d))
+                    count += len(i)
+                    if count > 100_000:
+                        yield from batch(node, *map(np.concatenate, zip(*held, strict=True)))
+                        held, count = [], 0
+                if count:
+                    yield from batch(node, *map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
@@ -177,20 +203,14 @@ def _leaders_of(words: int, tight: int) -> Callable:
             starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])])
             keep = []
             for start, end in zip(starts, np.r_[starts[1:], len(bucket)], strict=True):
-                own, todo, first = sig[start:end], np.ones(end - start, dtype=bool), 0
-                while first < len(own):
-                    keep.append(start + first)
-                    todo[first] = False
-                    todo[distances(own, own[first]) <= tight] = False
-                    rest = np.flatnonzero(todo[first:])
-                    first = first + int(rest[0]) if len(rest) else len(own)
+                keep += [start + first for first, _, _ in _lead(sig[start:end], tight)]
             if keep:
                 yield from table.take(pa.array(keep)).combine_chunks().to_batches()
 
     return run
 
 
-def link_buckets(rows: DataFrame, words: int, tight: int, loose: int, cap: int, every: int = 128, name: str = "links") -> DataFrame:
+def link_buckets(rows: DataFrame, words: int, tight: int, loose: int, cap: int, every: int = 64, name: str = "links") -> DataFrame:
     """Links (a0, a1, b0, b1, d) between rows of one bucket whose signatures differ in at most `loose` bits.
 
     rows: bucket long, h0 and h1 long, s0... long, saved. A bucket of more than `cap` rows is split into parts of about
