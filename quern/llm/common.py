@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 #: Rows up to which the smaller side of a join may be broadcast (at most about 40 bytes a row).
 BROADCAST_ROWS = 500_000
+#: Links of a row with rows of its bucket that are linked with one another anyway, in most cases.
+KEPT = 4
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -125,7 +127,7 @@ def _lead(own: np.ndarray, tight: int) -> Iterator[tuple[int, np.ndarray, np.nda
         first = first + int(rest[0]) if len(rest) else len(own)
 
 
-def _led_links(own: np.ndarray, tight: int, loose: int, kept: int = 3) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _led_links(own: np.ndarray, tight: int, loose: int, kept: int = KEPT) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Links of a large bucket: a leader's with the rows it takes, and with the `kept` nearest of each earlier leader's
     rows, as those are linked with one another; a group of near copies costs its size and not its square."""
     by = np.full(len(own), -1, dtype=np.int64)
@@ -150,8 +152,8 @@ def _led_links(own: np.ndarray, tight: int, loose: int, kept: int = 3) -> Iterat
 def _links_of(words: int, tight: int, loose: int, every: int) -> Callable:
     """Streams sorted buckets and links near signatures.
 
-    Buckets of at most `every` rows: all their pairs within `loose` (a member has fewer than `every`), found by comparing
-    all rows with those a few places on, whatever their bucket. Larger ones are led.
+    Buckets of at most `every` rows: all their pairs are compared, all rows with those a few places on at once whatever
+    their bucket, and each row is linked with the KEPT nearest before it. Larger buckets are led.
     """
 
     def batch(node: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -170,15 +172,22 @@ def _links_of(words: int, tight: int, loose: int, every: int) -> Callable:
             starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])])
             sizes = np.diff(np.r_[starts, n])
             end = np.repeat(np.where(sizes <= every, starts + sizes, starts), sizes)
-            flat = [np.ascontiguousarray(sig[:, w]) for w in range(words)]
-            for lag in range(1, int(sizes[sizes <= every].max(initial=0))):
+            size_of, most = np.repeat(sizes, sizes), int(sizes[sizes <= every].max(initial=0))
+            at = np.flatnonzero(size_of <= every)
+            links = np.zeros(n, dtype=np.int16)
+            for lag in range(1, most):
+                if lag in (1, 32, 64, 128):  # rows of buckets that still reach so far; buckets stay together
+                    at = at[size_of[at] > lag]
+                    flat = [np.ascontiguousarray(sig[at, w]) for w in range(words)]
                 d = np.bitwise_count(flat[0][lag:] ^ flat[0][:-lag]).astype(np.uint16)
                 for f in flat[1:]:
                     d += np.bitwise_count(f[lag:] ^ f[:-lag])
                 hit = np.flatnonzero(d <= loose)
-                hit = hit[hit + lag < end[hit]]
-                if len(hit):
-                    yield from batch(node, hit, hit + lag, d[hit])
+                i, j = at[hit], at[hit + lag]
+                own = (j < end[i]) & (links[j] < KEPT)
+                if own.any():
+                    links[j[own]] += 1
+                    yield from batch(node, i[own], j[own], d[hit[own]])
             for start, size in zip(starts[sizes > every].tolist(), sizes[sizes > every].tolist(), strict=True):
                 held, count = [], 0
                 for i, j, d in _led_links(sig[start : start + size], tight, loose):
@@ -210,7 +219,7 @@ def _leaders_of(words: int, tight: int) -> Callable:
     return run
 
 
-def link_buckets(rows: DataFrame, words: int, tight: int, loose: int, cap: int, every: int = 64, name: str = "links") -> DataFrame:
+def link_buckets(rows: DataFrame, words: int, tight: int, loose: int, cap: int, every: int = 256, name: str = "links") -> DataFrame:
     """Links (a0, a1, b0, b1, d) between rows of one bucket whose signatures differ in at most `loose` bits.
 
     rows: bucket long, h0 and h1 long, s0... long, saved. A bucket of more than `cap` rows is split into parts of about
