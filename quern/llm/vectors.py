@@ -28,7 +28,7 @@ def usable(embeddings: DataFrame, zeros: bool) -> DataFrame:
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim).astype(np.float64)
 
 
 Block = tuple[np.ndarray, np.ndarray, np.ndarray]
