@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 #: Rows up to which the smaller side of a join may be broadcast (at most about 40 bytes a row).
 BROADCAST_ROWS = 500_000
-#: Links of a row with rows of its bucket that are linked with one another anyway, in most cases.
+#: Links of a leader, in a bucket that is led, with rows of one earlier leader, which are linked with one another in most cases.
 KEPT = 4
 
 
@@ -149,12 +149,33 @@ def _led_links(own: np.ndarray, tight: int, loose: int, kept: int = KEPT) -> Ite
         yield np.full(len(hit), first), hit, d[hit]
 
 
-def _links_of(words: int, tight: int, loose: int, every: int) -> Callable:
+def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the links of a spanning forest, the class of each of the n rows)."""
+    label, kept, left = np.arange(n), [], np.arange(len(i))
+    while True:
+        a, b = label[i[left]], label[j[left]]
+        apart = a != b
+        if not apart.any():
+            return np.concatenate(kept) if kept else left[:0], label
+        left, low, high = left[apart], np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+        joined, at = np.unique(high, return_index=True)
+        kept.append(left[at])
+        parent = np.arange(n)
+        parent[joined] = low[at]
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        label = parent[label]
+
+
+def _links_of(words: int, tight: int, loose: int, every: int, ratio: float = 0.0, sure: int | None = None) -> Callable:
     """Streams sorted buckets and links near signatures.
 
     Buckets of at most `every` rows: all their pairs are compared, all rows with those a few places on at once whatever
-    their bucket, and each row is linked with the KEPT nearest before it. Larger buckets are led.
+    their bucket, and all within `loose` are linked whose sizes allow it (least / greatest n is `ratio` or more). A link
+    within `tight` of rows of `sure` or more needs no further check: of such links a spanning forest stays, and rows that
+    it connects get no other. Larger buckets are led.
     """
+    sized = ["n"] if ratio or sure is not None else []
 
     def batch(node: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
         swap = (node[i, 0] > node[j, 0]) | ((node[i, 0] == node[j, 0]) & (node[i, 1] > node[j, 1]))
@@ -169,12 +190,13 @@ def _links_of(words: int, tight: int, loose: int, every: int) -> Callable:
             node = np.stack([column(table, "h0"), column(table, "h1")], axis=1)
             sig = np.stack([column(table, f"s{i}") for i in range(words)], axis=1).astype(np.int64).view(np.uint64)
             n = len(bucket)
+            length = column(table, "n") if sized else np.ones(n, dtype=np.int32)
             starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])])
             sizes = np.diff(np.r_[starts, n])
             end = np.repeat(np.where(sizes <= every, starts + sizes, starts), sizes)
             size_of, most = np.repeat(sizes, sizes), int(sizes[sizes <= every].max(initial=0))
             at = np.flatnonzero(size_of <= every)
-            links = np.zeros(n, dtype=np.int16)
+            near: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for lag in range(1, most):
                 if lag in (1, 32, 64, 128):  # rows of buckets that still reach so far; buckets stay together
                     at = at[size_of[at] > lag]
@@ -184,10 +206,18 @@ def _links_of(words: int, tight: int, loose: int, every: int) -> Callable:
                     d += np.bitwise_count(f[lag:] ^ f[:-lag])
                 hit = np.flatnonzero(d <= loose)
                 i, j = at[hit], at[hit + lag]
-                own = (j < end[i]) & (links[j] < KEPT)
+                own = (j < end[i]) & (np.minimum(length[i], length[j]) >= ratio * np.maximum(length[i], length[j]))
                 if own.any():
-                    links[j[own]] += 1
-                    yield from batch(node, i[own], j[own], d[hit[own]])
+                    near.append((i[own], j[own], d[hit[own]]))
+            if near:
+                i, j, d = map(np.concatenate, zip(*near, strict=True))
+                if sure is not None:
+                    certain = (d <= tight) & (np.minimum(length[i], length[j]) >= sure)
+                    places = np.flatnonzero(certain)
+                    kept, label = _forest(i[places], j[places], n)
+                    keep = np.r_[places[kept], np.flatnonzero(label[i] != label[j])]
+                    i, j, d = i[keep], j[keep], d[keep]
+                yield from batch(node, i, j, d)
             for start, size in zip(starts[sizes > every].tolist(), sizes[sizes > every].tolist(), strict=True):
                 held, count = [], 0
                 for i, j, d in _led_links(sig[start : start + size], tight, loose):
@@ -219,31 +249,33 @@ def _leaders_of(words: int, tight: int) -> Callable:
     return run
 
 
-def link_buckets(rows: DataFrame, words: int, tight: int, loose: int, cap: int, every: int = 256, name: str = "links") -> DataFrame:
+def link_buckets(rows: DataFrame, words: int, tight: int, loose: int, cap: int, every: int = 256, name: str = "links", ratio: float = 0.0, sure: int | None = None) -> DataFrame:
     """Links (a0, a1, b0, b1, d) between rows of one bucket whose signatures differ in at most `loose` bits.
 
     rows: bucket long, h0 and h1 long, s0... long, saved. A bucket of more than `cap` rows is split into parts of about
     `cap` rows by a hash of h0; each part is searched, and the parts' leaders, then a much smaller bucket, are searched
     together, again in parts if they are too many, until one part holds what is left of a bucket. No row is dropped.
+    With `ratio` or `sure` (see _links_of) rows have a size n int.
     """
     found = None
-    rows = rows.select("bucket", "h0", "h1", *[f"s{i}" for i in range(words)])
+    own = ["h0", "h1", *(["n"] if ratio or sure is not None else []), *[f"s{i}" for i in range(words)]]
+    rows = rows.select("bucket", *own)
     for level in range(6):
-        counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cap)
+        counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > cap)
         heavy = save(counts, f"{name}-heavy")
         any_heavy = level < 5 and bool(heavy.head(1))
         if any_heavy:
             dealt = rows.join(small(heavy), "bucket", "left")
-            dealt = dealt.withColumn("part", F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("h0", F.lit(level)), F.ceil(F.col("n") / cap))).otherwise(F.lit(0)).cast("long"))
+            dealt = dealt.withColumn("part", F.when(F.col("rows").isNotNull(), F.pmod(F.xxhash64("h0", F.lit(level)), F.ceil(F.col("rows") / cap))).otherwise(F.lit(0)).cast("long"))
         else:
-            dealt = rows.withColumn("part", F.lit(0).cast("long")).withColumn("n", F.lit(None).cast("long"))
-        dealt = dealt.select("bucket", "part", "n", "h0", "h1", *[f"s{i}" for i in range(words)])
+            dealt = rows.withColumn("part", F.lit(0).cast("long")).withColumn("rows", F.lit(None).cast("long"))
+        dealt = dealt.select("bucket", "part", "rows", *own)
         ordered = dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "h0", "h1")
-        part = ordered.drop("n").mapInArrow(_links_of(words, tight, loose, every), LINKS)
+        part = ordered.drop("rows").mapInArrow(_links_of(words, tight, loose, every, ratio, sure), LINKS)
         found = part if found is None else found.unionByName(part)
         if not any_heavy:
             break
-        split = dealt.filter(F.col("n").isNotNull()).drop("n").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "h0", "h1")
+        split = dealt.filter(F.col("rows").isNotNull()).drop("rows").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "h0", "h1")
         led = split.mapInArrow(_leaders_of(words, tight), split.schema)
         rows = save(led.drop("part"), f"{name}-leaders")
     return save(found.groupBy("a0", "a1", "b0", "b1").agg(F.min("d").alias("d")), name)
