@@ -281,17 +281,18 @@ def link_buckets(rows: DataFrame, words: int, tight: int, loose: int, cap: int,
     return save(found.groupBy("a0", "a1", "b0", "b1").agg(F.min("d").alias("d")), name)
 
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
+def components(links: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the links (u, v), root the smallest node it is connected with; no root's own row.
 
     Alternating large and small stars: each round takes every node's smallest neighbour by a pre-aggregated minimum and
-    a join, so that a hub's links are never in one task. Rounds are saved; their number grows with the logarithm.
+    a join, so that a hub's links are never in one task. Rounds are saved; their number grows with the logarithm, and
+    more than `rounds` are an error.
     """
     pair = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
     edges = save(links.filter(F.col("u") != F.col("v")).select(*pair).distinct(), name)
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
     before = mark(edges)
-    for _ in range(60):
+    for _ in range(rounds):
         if not before[0]:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -306,6 +307,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components: not settled after {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
