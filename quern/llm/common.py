@@ -10,15 +10,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Rows up to which the smaller side of a join may be broadcast (at most about 40 bytes a row).
 BROADCAST_ROWS = 500_000
-#: Links of a leader, in a bucket that is led, with rows of one earlier leader, which are linked with one another in most cases.
-KEPT = 4
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -112,45 +108,75 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-LINKS = "a0 long, a1 long, b0 long, b1 long, d int"
+LINKS = "kind int, a0 long, b0 long, d int"
+#: Kinds of rows of LINKS: a link of a bucket's spanning forest, another candidate, a row (b0) of part d of a large bucket (a0) of which only a forest is there.
+TREE, OTHER, LARGE = 0, 1, 2
 
 
-def _lead(own: np.ndarray, tight: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(leader, its distances to all rows, rows that no leader had taken before): each row is taken by one leader."""
+def _rows(kind: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(a), 50_000):
+        s = slice(k, k + 50_000)
+        x, y = (a[s], b[s]) if kind == LARGE else (np.minimum(a[s], b[s]), np.maximum(a[s], b[s]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, dtype=np.int32)), pa.array(x), pa.array(y), pa.array(d[s].astype(np.int32))], ["kind", "a0", "b0", "d"])
+
+
+def _lead(own: np.ndarray, tight: int) -> Iterator[int]:
+    """Rows that lead: each other row is within `tight` of a leader before it."""
     todo, first = np.ones(len(own), dtype=bool), 0
     while first < len(own):
-        d = distances(own, own[first])
-        yield first, d, todo
+        yield first
+        todo[distances(own, own[first]) <= tight] = False
         todo[first] = False
-        todo[d <= tight] = False
         rest = np.flatnonzero(todo[first:])
         first = first + int(rest[0]) if len(rest) else len(own)
 
 
-def _led_links(own: np.ndarray, tight: int, loose: int, kept: int = KEPT) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Links of a large bucket: a leader's with the rows it takes, and with the `kept` nearest of each earlier leader's
-    rows, as those are linked with one another; a group of near copies costs its size and not its square."""
-    by = np.full(len(own), -1, dtype=np.int64)
-    for k, (first, d, todo) in enumerate(_lead(own, tight)):
-        near = np.flatnonzero(d <= loose)
-        near = near[near != first]
-        free = near[todo[near]]
-        held = near[~todo[near]]
-        if len(held):
-            order = np.lexsort((d[held], by[held]))
-            held = held[order]
-            start = np.flatnonzero(np.r_[True, by[held][1:] != by[held][:-1]])
-            place = np.arange(len(held)) - np.repeat(start, np.diff(np.r_[start, len(held)]))
-            held = held[place < kept]
-        mine = d <= tight
-        by[np.flatnonzero(mine & todo)] = k
-        by[first] = k
-        hit = np.concatenate([free, held])
-        yield np.full(len(hit), first), hit, d[hit]
+def _apart(length: np.ndarray, n: np.ndarray | int, ratio: float) -> np.ndarray:
+    """Where sizes differ by more than the ratio allows."""
+    return np.minimum(length, n) < ratio * np.maximum(length, n)
+
+
+def _tree(own: np.ndarray, length: np.ndarray, loose: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nearest links that connect all rows which links within `loose` connect (a minimum spanning forest)."""
+    far = np.iinfo(np.int64).max
+    best, by = np.full(len(own), far), np.zeros(len(own), dtype=np.int64)
+    left, at, found = np.arange(1, len(own)), 0, []
+    while len(left):
+        d = distances(own[left], own[at])
+        if ratio:
+            d[_apart(length[left], length[at], ratio)] = far
+        nearer = left[d < best[left]]
+        best[nearer] = d[d < best[left]]
+        by[nearer] = at
+        k = int(np.argmin(best[left]))
+        at = int(left[k])
+        if best[at] <= loose:
+            found.append((by[at], at, best[at]))
+        left = np.delete(left, k)
+    i, j, d = np.array(found, dtype=np.int64).reshape(-1, 3).T
+    return i, j, d
+
+
+def _few(own: np.ndarray, length: np.ndarray, loose: int, ratio: float, a_row: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """All pairs within `loose`, if they are at most `a_row` for each row."""
+    found, count = [], 0
+    for k in range(0, len(own), 64):
+        d = np.bitwise_count(own[k : k + 64, None, 0] ^ own[None, k:, 0]).astype(np.uint16)
+        for w in range(1, own.shape[1]):
+            d += np.bitwise_count(own[k : k + 64, None, w] ^ own[None, k:, w])
+        i, j = np.nonzero(d <= loose)
+        i, j = i[i < j], j[i < j]
+        keep = ~_apart(length[k + i], length[k + j], ratio)
+        i, j = i[keep], j[keep]
+        found.append((k + i, k + j, d[i, j]))
+        count += len(i)
+        if count > a_row * len(own):
+            return None
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
 def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places of the links of a spanning forest, the class of each of the n rows)."""
+    """(places of the links of a spanning forest, earlier links first, the class of each of the n rows)."""
     label, kept, left = np.arange(n), [], np.arange(len(i))
     while True:
         a, b = label[i[left]], label[j[left]]
@@ -167,38 +193,35 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
         label = parent[label]
 
 
+def _groups_of(table: pa.Table, words: int) -> tuple[np.ndarray, ...]:
+    """(buckets, parts, nodes, signatures, starts of groups, their sizes)"""
+    bucket, part = column(table, "bucket"), column(table, "part")
+    sig = np.stack([column(table, f"s{i}") for i in range(words)], axis=1).astype(np.int64).view(np.uint64)
+    starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])])
+    return bucket, part, column(table, "h0"), sig, starts, np.diff(np.r_[starts, len(bucket)])
+
+
 def _links_of(words: int, tight: int, loose: int, every: int, ratio: float = 0.0, sure: int | None = None) -> Callable:
     """Streams sorted buckets and links near signatures.
 
     Buckets of at most `every` rows: all their pairs are compared, all rows with those a few places on at once whatever
     their bucket, and all within `loose` are linked whose sizes allow it (least / greatest n is `ratio` or more). A link
     within `tight` of rows of `sure` or more needs no further check: of such links a spanning forest stays, and rows that
-    it connects get no other. Larger buckets are led.
+    it connects get no other. Of a larger bucket that has many near pairs a minimum spanning forest is linked, and its rows are
+    named, so that the caller can have the rest of its pairs by `rest_of_buckets`.
     """
-    sized = ["n"] if ratio or sure is not None else []
-
-    def batch(node: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
-        swap = (node[i, 0] > node[j, 0]) | ((node[i, 0] == node[j, 0]) & (node[i, 1] > node[j, 1]))
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        for k in range(0, len(i), 50_000):
-            s = slice(k, k + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(node[i[s], 0]), pa.array(node[i[s], 1]), pa.array(node[j[s], 0]), pa.array(node[j[s], 1]), pa.array(d[s].astype(np.int32))], ["a0", "a1", "b0", "b1", "d"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in complete_groups(batches, ["bucket", "part"]):
-            bucket, part = column(table, "bucket"), column(table, "part")
-            node = np.stack([column(table, "h0"), column(table, "h1")], axis=1)
-            sig = np.stack([column(table, f"s{i}") for i in range(words)], axis=1).astype(np.int64).view(np.uint64)
+            bucket, part, node, sig, starts, sizes = _groups_of(table, words)
             n = len(bucket)
-            length = column(table, "n") if sized else np.ones(n, dtype=np.int32)
-            starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])])
-            sizes = np.diff(np.r_[starts, n])
+            length = column(table, "n") if "n" in table.column_names else np.ones(n, dtype=np.int32)
             end = np.repeat(np.where(sizes <= every, starts + sizes, starts), sizes)
             size_of, most = np.repeat(sizes, sizes), int(sizes[sizes <= every].max(initial=0))
-            at = np.flatnonzero(size_of <= every)
+            at = np.flatnonzero((size_of <= every) & (size_of > 1))
             near: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for lag in range(1, most):
-                if lag in (1, 32, 64, 128):  # rows of buckets that still reach so far; buckets stay together
+                if lag in (1, 4, 16, 32, 64, 128):  # rows of buckets that still reach so far; buckets stay together
                     at = at[size_of[at] > lag]
                     flat = [np.ascontiguousarray(sig[at, w]) for w in range(words)]
                 d = np.bitwise_count(flat[0][lag:] ^ flat[0][:-lag]).astype(np.uint16)
@@ -206,28 +229,56 @@ def _links_of(words: int, tight: int, loose: int, every: int, ratio: float = 0.0
                     d += np.bitwise_count(f[lag:] ^ f[:-lag])
                 hit = np.flatnonzero(d <= loose)
                 i, j = at[hit], at[hit + lag]
-                own = (j < end[i]) & (np.minimum(length[i], length[j]) >= ratio * np.maximum(length[i], length[j]))
+                own = (j < end[i]) & ~_apart(length[i], length[j], ratio)
                 if own.any():
                     near.append((i[own], j[own], d[hit[own]]))
+            for start, size in zip(starts[sizes > every].tolist(), sizes[sizes > every].tolist(), strict=True):
+                own = slice(start, start + size)
+                few = _few(sig[own], length[own], loose, ratio)
+                if few is not None:
+                    near.append((few[0] + start, few[1] + start, few[2]))
+                    continue
+                i, j, d = _tree(sig[own], length[own], loose, ratio)
+                yield from _rows(TREE, node[own][i], node[own][j], d)
+                yield from _rows(LARGE, bucket[own], node[own], part[own])
             if near:
                 i, j, d = map(np.concatenate, zip(*near, strict=True))
+                order = np.argsort(d, kind="stable")
+                i, j, d = i[order], j[order], d[order]
                 if sure is not None:
                     certain = (d <= tight) & (np.minimum(length[i], length[j]) >= sure)
                     places = np.flatnonzero(certain)
                     kept, label = _forest(i[places], j[places], n)
-                    keep = np.r_[places[kept], np.flatnonzero(label[i] != label[j])]
-                    i, j, d = i[keep], j[keep], d[keep]
-                yield from batch(node, i, j, d)
-            for start, size in zip(starts[sizes > every].tolist(), sizes[sizes > every].tolist(), strict=True):
-                held, count = [], 0
-                for i, j, d in _led_links(sig[start : start + size], tight, loose):
-                    held.append((i + start, j + start, d))
-                    count += len(i)
-                    if count > 100_000:
-                        yield from batch(node, *map(np.concatenate, zip(*held, strict=True)))
-                        held, count = [], 0
-                if count:
-                    yield from batch(node, *map(np.concatenate, zip(*held, strict=True)))
+                    yield from _rows(TREE, node[i[places[kept]]], node[j[places[kept]]], d[places[kept]])
+                    rest = np.flatnonzero(label[i] != label[j])
+                    i, j, d = i[rest], j[rest], d[rest]
+                first = np.zeros(len(i), dtype=bool)
+                first[_forest(i, j, n)[0]] = True
+                yield from _rows(TREE, node[i[first]], node[j[first]], d[first])
+                yield from _rows(OTHER, node[i[~first]], node[j[~first]], d[~first])
+
+    return run
+
+
+def _rest_of(words: int, loose: int, ratio: float) -> Callable:
+    """Streams sorted buckets of rows with labels (l0, l1) and links all near rows with different labels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in complete_groups(batches, ["bucket", "part"]):
+            _, _, node, sig, starts, sizes = _groups_of(table, words)
+            length = column(table, "n") if "n" in table.column_names else np.ones(len(node), dtype=np.int32)
+            _, label = np.unique(np.stack([column(table, "l0"), column(table, "l1")], axis=1), axis=0, return_inverse=True)
+            label = label.reshape(-1)
+            for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
+                own = slice(start, start + size)
+                s, n, x, name = sig[own], length[own], label[own], node[own]
+                values, counts = np.unique(x, return_counts=True)
+                most = values[np.argmax(counts)]
+                for i in np.flatnonzero(x != most).tolist():
+                    to = np.flatnonzero((x != x[i]) & ((x == most) | (np.arange(size) > i)))
+                    d = distances(s[to], s[i])
+                    hit = (d <= loose) & ~_apart(n[to], n[i], ratio)
+                    yield from _rows(OTHER, np.full(int(hit.sum()), name[i]), name[to[hit]], d[hit])
 
     return run
 
@@ -237,48 +288,87 @@ def _leaders_of(words: int, tight: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in complete_groups(batches, ["bucket", "part"]):
-            bucket, part = column(table, "bucket"), column(table, "part")
-            sig = np.stack([column(table, f"s{i}") for i in range(words)], axis=1).astype(np.int64).view(np.uint64)
-            starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])])
-            keep = []
-            for start, end in zip(starts, np.r_[starts[1:], len(bucket)], strict=True):
-                keep += [start + first for first, _, _ in _lead(sig[start:end], tight)]
+            _, _, _, sig, starts, sizes = _groups_of(table, words)
+            keep = [start + first for start, size in zip(starts.tolist(), sizes.tolist(), strict=True) for first in _lead(sig[start : start + size], tight)]
             if keep:
                 yield from table.take(pa.array(keep)).combine_chunks().to_batches()
 
     return run
 
 
-def link_buckets(rows: DataFrame, words: int, tight: int, loose: int, cap: int, every: int = 256, name: str = "links", ratio: float = 0.0, sure: int | None = None) -> DataFrame:
-    """Links (a0, a1, b0, b1, d) between rows of one bucket whose signatures differ in at most `loose` bits.
+def _dealt(rows: DataFrame, cap: int, level: int, heavy: DataFrame | None) -> DataFrame:
+    """rows with part: 0, or in a heavy bucket one of as many as it has times `cap` rows, by a hash of h0."""
+    if heavy is None:
+        return rows.withColumn("part", F.lit(0).cast("long"))
+    part = F.pmod(F.xxhash64("h0", F.lit(level)), F.ceil(F.col("rows") / cap))
+    return rows.join(small(heavy), "bucket", "left").withColumn("part", F.coalesce(part, F.lit(0)).cast("long"))
 
-    rows: bucket long, h0 and h1 long, s0... long, saved. A bucket of more than `cap` rows is split into parts of about
-    `cap` rows by a hash of h0; each part is searched, and the parts' leaders, then a much smaller bucket, are searched
-    together, again in parts if they are too many, until one part holds what is left of a bucket. No row is dropped.
-    With `ratio` or `sure` (see _links_of) rows have a size n int.
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "h0")
+
+
+def link_buckets(rows: DataFrame, words: int, tight: int, loose: int, cap: int, every: int = 64, name: str = "links", ratio: float = 0.0, sure: int | None = None) -> DataFrame:
+    """Candidates (kind, a0, b0, d), see LINKS, between rows of one bucket whose signatures differ in at most `loose` bits; saved.
+
+    rows: bucket long, h0 long, s0... long, and n int if sizes count. Buckets of at most `every` rows give all their
+    pairs (but see _links_of), those up to `cap` a minimum spanning forest, and `rest_of_buckets` gives what is left. A
+    bucket of more than `cap` rows is split into parts of about `cap` rows by a hash of h0; each part is searched, and the
+    parts' leaders, then a much smaller bucket, are searched together, again in parts if they are too many, until one part
+    holds what is left of a bucket. Rows of two parts meet by their leaders only.
     """
     found = None
-    own = ["h0", "h1", *(["n"] if ratio or sure is not None else []), *[f"s{i}" for i in range(words)]]
+    sized = "n" in rows.columns
+    own = ["h0", *(["n"] if sized else []), *[f"s{i}" for i in range(words)]]
     rows = rows.select("bucket", *own)
     for level in range(6):
-        counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > cap)
-        heavy = save(counts, f"{name}-heavy")
+        heavy = save(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > cap), f"{name}-heavy")
         any_heavy = level < 5 and bool(heavy.head(1))
-        if any_heavy:
-            dealt = rows.join(small(heavy), "bucket", "left")
-            dealt = dealt.withColumn("part", F.when(F.col("rows").isNotNull(), F.pmod(F.xxhash64("h0", F.lit(level)), F.ceil(F.col("rows") / cap))).otherwise(F.lit(0)).cast("long"))
-        else:
-            dealt = rows.withColumn("part", F.lit(0).cast("long")).withColumn("rows", F.lit(None).cast("long"))
-        dealt = dealt.select("bucket", "part", "rows", *own)
-        ordered = dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "h0", "h1")
-        part = ordered.drop("rows").mapInArrow(_links_of(words, tight, loose, every, ratio, sure), LINKS)
+        dealt = _dealt(rows, cap, level, heavy if any_heavy else None)
+        part = _in_order(dealt.select("bucket", "part", *own)).mapInArrow(_links_of(words, tight, loose, every, ratio, sure), LINKS)
         found = part if found is None else found.unionByName(part)
         if not any_heavy:
             break
-        split = dealt.filter(F.col("rows").isNotNull()).drop("rows").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "h0", "h1")
-        led = split.mapInArrow(_leaders_of(words, tight), split.schema)
-        rows = save(led.drop("part"), f"{name}-leaders")
-    return save(found.groupBy("a0", "a1", "b0", "b1").agg(F.min("d").alias("d")), name)
+        split = _in_order(dealt.filter(F.col("rows").isNotNull()).select("bucket", "part", *own))
+        rows = save(split.mapInArrow(_leaders_of(words, tight), split.schema).drop("part"), f"{name}-leaders")
+    return save(found.groupBy("a0", "b0", F.when(F.col("kind") == LARGE, F.col("d")).alias("k")).agg(F.min("kind").alias("kind"), F.min("d").alias("d")).select("kind", "a0", "b0", "d"), name)
+
+
+def rest_of_buckets(found: DataFrame, signed: Callable, labels: DataFrame, words: int, loose: int, ratio: float = 0.0) -> DataFrame:
+    """The candidates (kind, a0, b0, d) that `link_buckets` left out: near rows of one large bucket with different labels.
+
+    signed: from (bucket, part, h0, l0, l1) to the same with s0... and n. labels: (h0, l0, l1) of rows that have one, not
+    their own; a row without is its own label. Buckets all of whose rows have one label, such as those of a group of near
+    copies, are left out before signatures are fetched.
+    """
+    some = found.filter(F.col("kind") == LARGE).select(F.col("a0").alias("bucket"), F.col("d").cast("long").alias("part"), F.col("b0").alias("h0"))
+    if not some.head(1):
+        return found.limit(0)
+    some = save(some.join(small(labels), "h0", "left").withColumn("l0", F.coalesce("l0", "h0")).withColumn("l1", F.coalesce("l1", F.lit(0))), "large")
+    mixed = some.groupBy("bucket", "part").agg(F.min("l0").alias("x"), F.max("l0").alias("y"), F.min("l1").alias("u"), F.max("l1").alias("v")).filter("x <> y or u <> v").select("bucket", "part")
+    return _in_order(signed(some.join(small(save(mixed, "large-mixed")), ["bucket", "part"], "left_semi"))).mapInArrow(_rest_of(words, loose, ratio), LINKS)
+
+
+def linked(searches: list[tuple[DataFrame, Callable, int, float]], verify: Callable, name: str, words: int) -> DataFrame:
+    """Verified links (u, v), structs of h0 and h1, that connect all rows which verified candidates connect; saved.
+
+    searches: candidates of `link_buckets`, what signs its rows (see rest_of_buckets), its loose and its ratio. verify: from
+    candidates (a0, b0, d) with a0 and b0 the h0 of rows to verified links (u, v). The links of the spanning forests are
+    verified first; of the other candidates, those of large buckets included, only what they have not connected.
+    """
+    ends = ["a0", "b0", "d"]
+    pairs = lambda kind: functools.reduce(DataFrame.unionByName, [found.filter(F.col("kind") == kind).select(*ends) for found, *_ in searches]).groupBy("a0", "b0").agg(F.min("d").alias("d"))
+    first = save(verify(pairs(TREE)), f"{name}-first")
+    root = components(first, f"{name}-parts")
+    root = root.unionByName(root.select(F.col("root").alias("node"), "root").distinct())
+    label = save(root.select(F.col("node.h0").alias("h0"), F.col("root.h0").alias("l0"), F.col("root.h1").alias("l1")).dropDuplicates(["h0"]), f"{name}-labels")
+    a = label.select(F.col("h0").alias("a0"), F.col("l0").alias("la"), F.col("l1").alias("ma"))
+    b = label.select(F.col("h0").alias("b0"), F.col("l0").alias("lb"), F.col("l1").alias("mb"))
+    left = pairs(OTHER).join(small(a), "a0", "left").join(small(b), "b0", "left").filter("la is null or lb is null or la <> lb or ma <> mb").select(*ends)
+    for found, signed, loose, ratio in searches:
+        left = left.unionByName(rest_of_buckets(found, signed, label, words, loose, ratio).select(*ends))
+    more = save(left.groupBy("a0", "b0").agg(F.min("d").alias("d")), f"{name}-rest")
+    return save(first.unionByName(verify(more)), f"{name}-linked")
 
 
 def components(links: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
@@ -312,10 +402,6 @@ def components(links: DataFrame, name: str = "components", rounds: int = 60) ->
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def schema_of(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
 @functools.cache
 def tokenizer_path(name: str) -> str:
     """Where a public vocabulary file lies; the folder may be named in QUERN_TOKENIZERS."""
