@@ -201,7 +201,7 @@ def _groups_of(table: pa.Table, words: int) -> tuple[np.ndarray, ...]:
     return bucket, part, column(table, "h0"), sig, starts, np.diff(np.r_[starts, len(bucket)])
 
 
-def _links_of(words: int, tight: int, loose: int, every: int, ratio: float = 0.0, sure: int | None = None) -> Callable:
+def _links_of(words: int, tight: int, loose: int, every: int, ratio: float = 0.0, sure: int | None = None, other: tuple[int, int] | None = None) -> Callable:
     """Streams sorted buckets and links near signatures.
 
     Buckets of at most `every` rows: all their pairs are compared, all rows with those a few places on at once whatever
@@ -230,15 +230,18 @@ def _links_of(words: int, tight: int, loose: int, every: int, ratio: float = 0.0
                 hit = np.flatnonzero(d <= loose)
                 i, j = at[hit], at[hit + lag]
                 own = (j < end[i]) & ~_apart(length[i], length[j], ratio)
+                if other:
+                    own &= (d[hit] <= other[1]) | (bucket[i] < other[0])
                 if own.any():
                     near.append((i[own], j[own], d[hit[own]]))
             for start, size in zip(starts[sizes > every].tolist(), sizes[sizes > every].tolist(), strict=True):
                 own = slice(start, start + size)
-                few = _few(sig[own], length[own], loose, ratio)
+                near_by = other[1] if other and bucket[start] >= other[0] else loose
+                few = _few(sig[own], length[own], near_by, ratio)
                 if few is not None:
                     near.append((few[0] + start, few[1] + start, few[2]))
                     continue
-                i, j, d = _tree(sig[own], length[own], loose, ratio)
+                i, j, d = _tree(sig[own], length[own], near_by, ratio)
                 yield from _rows(TREE, node[own][i], node[own][j], d)
                 yield from _rows(LARGE, bucket[own], node[own], part[own])
             if near:
@@ -308,24 +311,29 @@ def _in_order(rows: DataFrame) -> DataFrame:
     return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "h0")
 
 
-def link_buckets(rows: DataFrame, words: int, tight: int, loose: int, cap: int, every: int = 64, name: str = "links", ratio: float = 0.0, sure: int | None = None) -> DataFrame:
+def link_buckets(rows: DataFrame, words: int, tight: int, loose: int, cap: int, every: int = 64, name: str = "links", ratio: float = 0.0, sure: int | None = None, other: tuple[int, int] | None = None) -> DataFrame:
     """Candidates (kind, a0, b0, d), see LINKS, between rows of one bucket whose signatures differ in at most `loose` bits; saved.
 
     rows: bucket long, h0 long, s0... long, and n int if sizes count. Buckets of at most `every` rows give all their
     pairs (but see _links_of), those up to `cap` a minimum spanning forest, and `rest_of_buckets` gives what is left. A
     bucket of more than `cap` rows is split into parts of about `cap` rows by a hash of h0; each part is searched, and the
     parts' leaders, then a much smaller bucket, are searched together, again in parts if they are too many, until one part
-    holds what is left of a bucket. Rows of two parts meet by their leaders only.
+    holds what is left of a bucket. Rows of two parts meet by their leaders only. Which buckets are split is settled by
+    the sixteenth of the rows whose h0 says so: a few more or fewer are, which changes no candidate, as a task holds
+    buckets of many times `cap`. other: (first bucket, the `loose` of buckets from there on).
     """
     found = None
     sized = "n" in rows.columns
     own = ["h0", *(["n"] if sized else []), *[f"s{i}" for i in range(words)]]
     rows = rows.select("bucket", *own)
     for level in range(6):
-        heavy = save(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > cap), f"{name}-heavy")
+        # small caps are those of tests
+        share = 16 if cap >= 256 else 1
+        seen = rows.filter(F.pmod(F.shiftrightunsigned("h0", 20), F.lit(share)) == 0).groupBy("bucket").agg((F.count(F.lit(1)) * share).alias("rows"))
+        heavy = save(seen.filter(F.col("rows") > cap), f"{name}-heavy")
         any_heavy = level < 5 and bool(heavy.head(1))
         dealt = _dealt(rows, cap, level, heavy if any_heavy else None)
-        part = _in_order(dealt.select("bucket", "part", *own)).mapInArrow(_links_of(words, tight, loose, every, ratio, sure), LINKS)
+        part = _in_order(dealt.select("bucket", "part", *own)).mapInArrow(_links_of(words, tight, loose, every, ratio, sure, other), LINKS)
         found = part if found is None else found.unionByName(part)
         if not any_heavy:
             break
@@ -350,7 +358,7 @@ def rest_of_buckets(found: DataFrame, signed: Callable, labels: DataFrame, words
 
 
 def linked(searches: list[tuple[DataFrame, Callable, int, float]], verify: Callable, name: str, words: int) -> DataFrame:
-    """Verified links (u, v), structs of h0 and h1, that connect all rows which verified candidates connect; saved.
+    """(node, root), structs of h0 and h1: the rows that verified candidates connect; see `components`.
 
     searches: candidates of `link_buckets`, what signs its rows (see rest_of_buckets), its loose and its ratio. verify: from
     candidates (a0, b0, d) with a0 and b0 the h0 of rows to verified links (u, v). The links of the spanning forests are
@@ -358,17 +366,22 @@ def linked(searches: list[tuple[DataFrame, Callable, int, float]], verify: Calla
     """
     ends = ["a0", "b0", "d"]
     pairs = lambda kind: functools.reduce(DataFrame.unionByName, [found.filter(F.col("kind") == kind).select(*ends) for found, *_ in searches]).groupBy("a0", "b0").agg(F.min("d").alias("d"))
-    first = save(verify(pairs(TREE)), f"{name}-first")
-    root = components(first, f"{name}-parts")
-    root = root.unionByName(root.select(F.col("root").alias("node"), "root").distinct())
+    found = save(components(verify(pairs(TREE)), f"{name}-parts"), f"{name}-roots")
+    root = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     label = save(root.select(F.col("node.h0").alias("h0"), F.col("root.h0").alias("l0"), F.col("root.h1").alias("l1")).dropDuplicates(["h0"]), f"{name}-labels")
     a = label.select(F.col("h0").alias("a0"), F.col("l0").alias("la"), F.col("l1").alias("ma"))
     b = label.select(F.col("h0").alias("b0"), F.col("l0").alias("lb"), F.col("l1").alias("mb"))
     left = pairs(OTHER).join(small(a), "a0", "left").join(small(b), "b0", "left").filter("la is null or lb is null or la <> lb or ma <> mb").select(*ends)
-    for found, signed, loose, ratio in searches:
-        left = left.unionByName(rest_of_buckets(found, signed, label, words, loose, ratio).select(*ends))
+    for links, signed, loose, ratio in searches:
+        left = left.unionByName(rest_of_buckets(links, signed, label, words, loose, ratio).select(*ends))
     more = save(left.groupBy("a0", "b0").agg(F.min("d").alias("d")), f"{name}-rest")
-    return save(first.unionByName(verify(more)), f"{name}-linked")
+    # links of classes, which connect what the first ones have left apart
+    a, b = (found.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "uv")
+    links = verify(more).join(small(a), "u", "left").join(small(b), "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
+    over = save(components(links, f"{name}-joined"), f"{name}-over")
+    moved = found.join(small(over.select(F.col("node").alias("root"), F.col("root").alias("top"))), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    # roots and rows alone that have come under another root
+    return save(moved.unionByName(over), f"{name}-linked")
 
 
 def components(links: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
