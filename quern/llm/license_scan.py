@@ -1,6 +1,7 @@
 """Licence scan: passages whose word bigrams are those of a licence template, by Dice's coefficient.
 
-A text is cut into pieces at line ends and behind sentence marks; a passage is a run of pieces. Passages and templates
+A text is cut into pieces at line ends and behind sentence marks, those without words left out; a passage is a run of
+pieces, or, for a notice inside a longer sentence, any run of as many words as the template has. Passages and templates
 are normalised (lower case, words of letters and digits) and compared as multisets of word bigrams. A coefficient of
 DICE or more bounds the sizes: a passage of a bigrams and a template of b need a and b to differ by no more than
 (2 - DICE) / DICE, so that a template is only tried on passages of such sizes. It also makes a passage share so many of a
@@ -15,6 +16,7 @@ name; an empty table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -84,52 +86,59 @@ class Templates:
         anchors = self._anchored(low)
         if not anchors:
             return []
+        at_word = [m.span() for m in _word.finditer(low)]
+        starts = [a for a, _ in at_word]
+        words = [low[a:b] for a, b in at_word]
+        # pieces that hold words: their first words, and where they begin and end
         edges = [0, *[m.end() for m in _edge.finditer(low)], len(low)]
-        place: dict[int, set[int]] = {}
-        at = 0
-        for start, word in sorted(anchors):
-            while edges[at + 1] <= start:
-                at += 1
-            place.setdefault(at, set()).update(self.marks[word])
-        words: dict[int, list[str]] = {}
+        first_word, spans = [], []
+        for a, b in zip(edges, edges[1:], strict=False):
+            k = bisect_left(starts, a)
+            if k < len(starts) and starts[k] < b:
+                first_word.append(k)
+                spans.append((a, b))
+        first_word.append(len(words))
+        pieces, tried, found = len(spans), set(), []
+        grams: dict[tuple[int, int], Counter] = {}
 
-        def of(i: int) -> list[str]:
-            if i not in words:
-                words[i] = _word.findall(low, edges[i], edges[i + 1])
-            return words[i]
+        def attempt(a: int, b: int, t: int, start: int, end: int) -> None:
+            """Words a to b against template t; start and end: the passage."""
+            if (a, b, t) in tried:
+                return
+            tried.add((a, b, t))
+            if (a, b) not in grams:
+                grams[a, b] = bigrams(words[a:b])
+            d = dice(grams[a, b], self.all[t][1])
+            if d >= self.least:
+                while start < end and low[start].isspace():
+                    start += 1
+                while end > start and low[end - 1].isspace():
+                    end -= 1
+                found.append((-d, start - end, start, self.all[t][0], end))
 
-        pieces, tried, found = len(edges) - 1, set(), []
-        grams: dict[tuple[int, int], Counter] = {}
+        place: dict[int, set[int]] = {}
+        windows: list[tuple[int, str]] = []
+        for start, word in sorted(anchors):
+            k = bisect_right(starts, start) - 1  # an anchor may be part of a word with marks
+            place.setdefault(bisect_right(first_word, k) - 1, set()).update(self.marks[word])
+            windows.append((k, word))
         for i, wanted in place.items():
             most = max(self.all[t][3] for t in wanted)
-            before, first = len(of(i)), i
-            while True:  # runs of pieces that hold piece i, by their first piece
-                if before - 1 > most:
-                    break
-                size, last = before, i
-                while size - 1 <= most:
+            first = i
+            while first >= 0 and first_word[i + 1] - first_word[first] - 1 <= most:  # runs that hold piece i
+                last = i
+                while last < pieces and first_word[last + 1] - first_word[first] - 1 <= most:
+                    size = first_word[last + 1] - first_word[first]
                     for t in wanted:
-                        name, own, least, largest = self.all[t]
-                        if least <= size - 1 <= largest and (first, last, t) not in tried:
-                            tried.add((first, last, t))
-                            if (first, last) not in grams:
-                                grams[first, last] = bigrams([w for k in range(first, last + 1) for w in of(k)])
-                            d = dice(grams[first, last], own)
-                            if d >= self.least:
-                                start, end = edges[first], edges[last + 1]
-                                while start < end and low[start].isspace():
-                                    start += 1
-                                while end > start and low[end - 1].isspace():
-                                    end -= 1
-                                found.append((-d, start - end, start, name, end))
+                        if self.all[t][2] <= size - 1 <= self.all[t][3]:
+                            attempt(first_word[first], first_word[last + 1], t, spans[first][0], spans[last][1])
                     last += 1
-                    if last >= pieces:
-                        break
-                    size += len(of(last))
                 first -= 1
-                if first < 0:
-                    break
-                before += len(of(first))
+        for k, word in windows:
+            for t in self.marks[word]:
+                n = self.all[t][1].total() + 1
+                for a in range(max(0, k - n + 1), min(k, len(words) - n) + 1):
+                    attempt(a, a + n, t, at_word[a][0], at_word[a + n - 1][1])
         out: list[tuple[int, int, str, float]] = []
         for d, _, start, name, end in sorted(found):
             if all(end <= s or start >= e for s, e, _, _ in out):
