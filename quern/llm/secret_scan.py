@@ -80,7 +80,7 @@ def _covered(value: str) -> float:
 
 
 def features(before: str, value: str, after: str, path: str) -> list[float]:
-    raw = np.frombuffer(value.encode("latin-1", "replace")[:512], dtype=np.uint8)  # a candidate's own features; texts are scanned whole
+    raw = np.frombuffer(value.encode("latin-1", "replace"), dtype=np.uint8)
     kinds = np.select([(raw >= 48) & (raw <= 57), (raw >= 97) & (raw <= 122), (raw >= 65) & (raw <= 90)], [0, 1, 2], 3)
     n = len(raw)
     share = np.bincount(kinds, minlength=4) / n
@@ -92,7 +92,7 @@ def features(before: str, value: str, after: str, path: str) -> list[float]:
     bad, good = [m.start() for m in _bad.finditer(near)], [m.start() for m in _good.finditer(near)]
     hexes = bool(re.fullmatch(r"[0-9a-fA-F]+", value))
     return [
-        float(min(len(value), 512)),
+        float(len(value)),
         float((kinds[1:] != kinds[:-1]).mean()) if n > 1 else 0.0,
         float(_common[low[:-1], low[1:]].mean()) if n > 1 else 0.0,
         float(-(p * np.log2(p)).sum()),
