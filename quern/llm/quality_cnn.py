@@ -4,7 +4,7 @@ A text's UTF-8 bytes are cut into overlapping chunks of CHUNK + OVERLAP bytes th
 pass FILTERS learned filters, 8 bytes wide, every 4 bytes; each filter's maximum over a chunk feeds a small hidden layer,
 and the mean and the maximum of the chunks' hidden values give the text's one probability that its label is 1.
 
-The network is fitted on the driver, on at most SAMPLE labelled texts a class of at most SAMPLE_BYTES bytes each, the
+The network is fitted on the driver, on at most SAMPLE labelled texts a class of at most SAMPLE_BYTES bytes (256 kB) each, the
 first by a hash of doc_id; scoring reads every text whole. The sample's balance is corrected to that of all labels.
 
 Cases: a null text counts as empty and gets a score as any other; a null doc_id is scored and not held out; labels that
@@ -26,7 +26,7 @@ from .common import strings
 
 CHUNK, OVERLAP, DIMS, FILTERS, HIDDEN = 448, 64, 8, 48, 24
 ROWS, SPAN = CHUNK // 4, (CHUNK + OVERLAP) // 4 - 1  # positions from chunk to chunk, and in a chunk
-SAMPLE, SAMPLE_BYTES, STEPS, BATCH = 2500, 16_384, 900, 32
+SAMPLE, SAMPLE_BYTES, STEPS, BATCH = 2500, 262_144, 900, 32
 SEGMENT = 128  # chunks that are worked on at once
 PAD = 256
 
@@ -177,8 +177,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int =
         picked = part if picked is None else picked.unionByName(part)
     text = F.coalesce(F.col("text"), F.lit(""))
     # at most 2 * sample ids
-    found = docs.select("doc_id", text.alias("text")).join(F.broadcast(picked), "doc_id").filter(F.octet_length("text") <= SAMPLE_BYTES)
-    kept = sorted((r.doc_id, r.text, r.label) for r in found.limit(4 * sample).toLocalIterator())
+    found = docs.select("doc_id", text.alias("text")).join(F.broadcast(picked), "doc_id").filter(F.octet_length("text") <= SAMPLE_BYTES).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    kept = sorted((r.doc_id, r.text, r.label) for r in found.toLocalIterator())
     return fit([t.encode() for _, t, _ in kept], np.array([y for *_, y in kept]), 0.5 if row is None else float(row), steps)
 
 
