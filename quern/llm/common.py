@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 
 #: Rows up to which the smaller side of a join may be broadcast (at most about 40 bytes a row).
 BROADCAST_ROWS = 500_000
+#: Rows of a block of a large bucket; two blocks are compared at a time.
+BLOCK = 8192
+#: Times that the leaders of a split bucket's parts are searched together.
+ROUNDS = 3
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -264,24 +268,37 @@ def _links_of(words: int, tight: int, loose: int, every: int, ratio: float = 0.0
 
 
 def _rest_of(words: int, loose: int, ratio: float) -> Callable:
-    """Streams sorted buckets of rows with labels (l0, l1) and links all near rows with different labels."""
+    """Streams sorted pairs of blocks of a bucket's rows with labels (l0, l1) and links all near rows with different labels.
+
+    Rows of side 0 are compared with those of side 1, or with each other where a block is paired with itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
         for table in complete_groups(batches, ["bucket", "part"]):
             _, _, node, sig, starts, sizes = _groups_of(table, words)
             length = column(table, "n") if "n" in table.column_names else np.ones(len(node), dtype=np.int32)
+            side = column(table, "side")
             _, label = np.unique(np.stack([column(table, "l0"), column(table, "l1")], axis=1), axis=0, return_inverse=True)
             label = label.reshape(-1)
             for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
                 own = slice(start, start + size)
-                s, n, x, name = sig[own], length[own], label[own], node[own]
+                s, n, x, name, y = sig[own], length[own], label[own], node[own], side[own]
                 values, counts = np.unique(x, return_counts=True)
-                most = values[np.argmax(counts)]
+                most, at = values[np.argmax(counts)], np.arange(size)
+                alone = y.min() == y.max()
+                # rows of the largest label meet the others from these
                 for i in np.flatnonzero(x != most).tolist():
-                    to = np.flatnonzero((x != x[i]) & ((x == most) | (np.arange(size) > i)))
+                    to = np.flatnonzero((x != x[i]) & ((x == most) | (at > i)) & (alone | (y != y[i])))
                     d = distances(s[to], s[i])
-                    hit = (d <= loose) & ~_apart(n[to], n[i], ratio)
-                    yield from _rows(OTHER, np.full(int(hit.sum()), name[i]), name[to[hit]], d[hit])
+                    hit = np.flatnonzero((d <= loose) & ~_apart(n[to], n[i], ratio))
+                    held.append((np.full(len(hit), name[i]), name[to[hit]], d[hit]))
+                    count += len(hit)
+                    if count >= 50_000:
+                        yield from _rows(OTHER, *map(np.concatenate, zip(*held, strict=True)))
+                        held, count = [], 0
+        if count:
+            yield from _rows(OTHER, *map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
@@ -311,57 +328,80 @@ def _in_order(rows: DataFrame) -> DataFrame:
     return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "h0")
 
 
-def link_buckets(rows: DataFrame, words: int, tight: int, loose: int, cap: int, every: int = 64, name: str = "links", ratio: float = 0.0, sure: int | None = None, other: tuple[int, int] | None = None) -> DataFrame:
+def heavy_buckets(rows: DataFrame, cap: int, name: str) -> DataFrame:
+    """(bucket, rows) of the buckets of more than `cap` rows, by the sixteenth of the rows whose h0 says so; saved."""
+    # small caps are those of tests
+    share = 16 if cap >= 256 else 1
+    seen = rows.filter(F.pmod(F.shiftrightunsigned("h0", 20), F.lit(share)) == 0).groupBy("bucket").agg((F.count(F.lit(1)) * share).alias("rows"))
+    return save(seen.filter(F.col("rows") > cap), f"{name}-heavy")
+
+
+def link_buckets(rows: DataFrame, words: int, tight: int, loose: int, cap: int, every: int = 64, name: str = "links", ratio: float = 0.0, sure: int | None = None, other: tuple[int, int] | None = None, heavy: DataFrame | None = None) -> DataFrame:
     """Candidates (kind, a0, b0, d), see LINKS, between rows of one bucket whose signatures differ in at most `loose` bits; saved.
 
     rows: bucket long, h0 long, s0... long, and n int if sizes count. Buckets of at most `every` rows give all their
     pairs (but see _links_of), those up to `cap` a minimum spanning forest, and `rest_of_buckets` gives what is left. A
-    bucket of more than `cap` rows is split into parts of about `cap` rows by a hash of h0; each part is searched, and the
-    parts' leaders, then a much smaller bucket, are searched together, again in parts if they are too many, until one part
-    holds what is left of a bucket. Rows of two parts meet by their leaders only. Which buckets are split is settled by
-    the sixteenth of the rows whose h0 says so: a few more or fewer are, which changes no candidate, as a task holds
-    buckets of many times `cap`. other: (first bucket, the `loose` of buckets from there on).
+    bucket of more than `cap` rows (`heavy`, else by `heavy_buckets`) is split into parts of about `cap` rows by a hash of
+    h0; each part is searched, and the parts' leaders, then a much smaller bucket, are searched together, again in parts if
+    they are too many, the last time in one part of up to BLOCK rows. That links near copies cheaply; the other pairs of its parts are what `searched` has
+    `rest_of_buckets` compare. Which buckets are split changes no candidate. other: (first bucket, the `loose` of
+    buckets from there on).
     """
     found = None
     sized = "n" in rows.columns
     own = ["h0", *(["n"] if sized else []), *[f"s{i}" for i in range(words)]]
     rows = rows.select("bucket", *own)
-    for level in range(6):
-        # small caps are those of tests
-        share = 16 if cap >= 256 else 1
-        seen = rows.filter(F.pmod(F.shiftrightunsigned("h0", 20), F.lit(share)) == 0).groupBy("bucket").agg((F.count(F.lit(1)) * share).alias("rows"))
-        heavy = save(seen.filter(F.col("rows") > cap), f"{name}-heavy")
-        any_heavy = level < 5 and bool(heavy.head(1))
+    for level in range(ROUNDS):
+        if level == ROUNDS - 1:
+            cap = max(cap, BLOCK)
+        if level or heavy is None:
+            heavy = heavy_buckets(rows, cap, name)
+        any_heavy = bool(heavy.head(1))
         dealt = _dealt(rows, cap, level, heavy if any_heavy else None)
         part = _in_order(dealt.select("bucket", "part", *own)).mapInArrow(_links_of(words, tight, loose, every, ratio, sure, other), LINKS)
         found = part if found is None else found.unionByName(part)
-        if not any_heavy:
+        if not any_heavy or level == ROUNDS - 1:
             break
         split = _in_order(dealt.filter(F.col("rows").isNotNull()).select("bucket", "part", *own))
         rows = save(split.mapInArrow(_leaders_of(words, tight), split.schema).drop("part"), f"{name}-leaders")
     return save(found.groupBy("a0", "b0", F.when(F.col("kind") == LARGE, F.col("d")).alias("k")).agg(F.min("kind").alias("kind"), F.min("d").alias("d")).select("kind", "a0", "b0", "d"), name)
 
 
-def rest_of_buckets(found: DataFrame, signed: Callable, labels: DataFrame, words: int, loose: int, ratio: float = 0.0) -> DataFrame:
+def searched(rows: DataFrame, signed: Callable, words: int, tight: int, loose: int, cap: int, name: str, ratio: float, **more) -> tuple:
+    """A search of `linked`: the candidates of `link_buckets`, what signs its rows, its loose and ratio, and the rows
+    (bucket, h0) of the buckets that were split, null if none was."""
+    heavy = heavy_buckets(rows, cap, name)
+    found = link_buckets(rows, words, tight, loose, cap, name=name, ratio=ratio, heavy=heavy, **more)
+    split = rows.join(small(heavy), "bucket", "left_semi").select("bucket", "h0") if heavy.head(1) else None
+    return found, signed, loose, ratio, split
+
+
+def rest_of_buckets(found: DataFrame, signed: Callable, labels: DataFrame, words: int, loose: int, ratio: float = 0.0, split: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """The candidates (kind, a0, b0, d) that `link_buckets` left out: near rows of one large bucket with different labels.
 
-    signed: from (bucket, part, h0, l0, l1) to the same with s0... and n. labels: (h0, l0, l1) of rows that have one, not
-    their own; a row without is its own label. Buckets all of whose rows have one label, such as those of a group of near
-    copies, are left out before signatures are fetched.
+    signed: from (bucket, h0, l0, l1, parts) to the same with s0... and n. labels: (h0, l0, l1) of rows that have one, not
+    their own; a row without is its own label. split: (bucket, h0) of the buckets that were split, all their rows. Buckets
+    all of whose rows have one label, such as those of a group of near copies, are left out before signatures are fetched.
+    A bucket of more than `block` rows is dealt to blocks of about so many, and every two of them are compared by some task.
     """
-    some = found.filter(F.col("kind") == LARGE).select(F.col("a0").alias("bucket"), F.col("d").cast("long").alias("part"), F.col("b0").alias("h0"))
+    some = found.filter(F.col("kind") == LARGE).select(F.col("a0").alias("bucket"), F.col("b0").alias("h0"))
+    some = (some if split is None else some.unionByName(split)).distinct()
+    some = save(some.join(small(labels), "h0", "left").withColumn("l0", F.coalesce("l0", "h0")).withColumn("l1", F.coalesce("l1", F.lit(0))), "large")
     if not some.head(1):
         return found.limit(0)
-    some = save(some.join(small(labels), "h0", "left").withColumn("l0", F.coalesce("l0", "h0")).withColumn("l1", F.coalesce("l1", F.lit(0))), "large")
-    mixed = some.groupBy("bucket", "part").agg(F.min("l0").alias("x"), F.max("l0").alias("y"), F.min("l1").alias("u"), F.max("l1").alias("v")).filter("x <> y or u <> v").select("bucket", "part")
-    return _in_order(signed(some.join(small(save(mixed, "large-mixed")), ["bucket", "part"], "left_semi"))).mapInArrow(_rest_of(words, loose, ratio), LINKS)
+    mixed = some.groupBy("bucket").agg(F.min("l0").alias("x"), F.max("l0").alias("y"), F.min("l1").alias("u"), F.max("l1").alias("v"), F.count(F.lit(1)).alias("rows"))
+    mixed = save(mixed.filter("x <> y or u <> v").select("bucket", F.ceil(F.col("rows") / block).cast("long").alias("parts")), "large-mixed")
+    own = signed(some.join(small(mixed), "bucket")).withColumn("own", F.pmod(F.xxhash64("h0", F.lit(-1)), "parts"))
+    both = own.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    both = both.withColumn("part", F.least("own", "x") * F.col("parts") + F.greatest("own", "x")).withColumn("side", (F.col("own") > F.col("x")).cast("int"))
+    return _in_order(both.drop("own", "x", "parts")).mapInArrow(_rest_of(words, loose, ratio), LINKS)
 
 
 def linked(searches: list[tuple[DataFrame, Callable, int, float]], verify: Callable, name: str, words: int) -> DataFrame:
     """(node, root), structs of h0 and h1: the rows that verified candidates connect; see `components`.
 
-    searches: candidates of `link_buckets`, what signs its rows (see rest_of_buckets), its loose and its ratio. verify: from
-    candidates (a0, b0, d) with a0 and b0 the h0 of rows to verified links (u, v). The links of the spanning forests are
+    searches: candidates of `link_buckets`, what signs its rows (see rest_of_buckets), its loose and its ratio, and the rows
+    of its split buckets (see searched), without which rows of two parts meet by leaders only. verify: from candidates (a0, b0, d) with a0 and b0 the h0 of rows to verified links (u, v). The links of the spanning forests are
     verified first; of the other candidates, those of large buckets included, only what they have not connected.
     """
     ends = ["a0", "b0", "d"]
@@ -372,8 +412,8 @@ def linked(searches: list[tuple[DataFrame, Callable, int, float]], verify: Calla
     a = label.select(F.col("h0").alias("a0"), F.col("l0").alias("la"), F.col("l1").alias("ma"))
     b = label.select(F.col("h0").alias("b0"), F.col("l0").alias("lb"), F.col("l1").alias("mb"))
     left = pairs(OTHER).join(small(a), "a0", "left").join(small(b), "b0", "left").filter("la is null or lb is null or la <> lb or ma <> mb").select(*ends)
-    for links, signed, loose, ratio in searches:
-        left = left.unionByName(rest_of_buckets(links, signed, label, words, loose, ratio).select(*ends))
+    for links, signed, loose, ratio, *split in searches:
+        left = left.unionByName(rest_of_buckets(links, signed, label, words, loose, ratio, *split).select(*ends))
     more = save(left.groupBy("a0", "b0").agg(F.min("d").alias("d")), f"{name}-rest")
     # links of classes, which connect what the first ones have left apart
     a, b = (found.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "uv")

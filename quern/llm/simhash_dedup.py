@@ -2,11 +2,11 @@
 
 A document's 256-bit SimHash is taken over its distinct shingles of five words (lower case, runs of letters, digits and
 underscores; fewer than five words: one shingle of them all). Several tables each group documents by BITS sampled
-coordinates; a bucket above CAP gets as many further coordinates as it needs, up to MORE, and what is still above it is
-split and its parts' leaders are searched together. Candidates within LOOSE bits are verified: within TIGHT bits with
+coordinates; a bucket above CAP is split, its parts' leaders are searched together, and then all pairs of its rows that are
+not yet in one class are compared, two blocks at a time. Candidates within LOOSE bits are verified: within TIGHT bits with
 enough shingles the distance decides (such a pair is over 0.9 alike), else the exact Jaccard similarity of the shingle
 sets, 0.8 or more. The links of the buckets' spanning forests are verified first, and of the other candidates those whose
-ends these have not connected; every candidate of a bucket of at most CAP rows is one of the two. A class is a connected group of links; equal texts are one class whatever they hold.
+ends these have not connected; every candidate of a bucket is one of the two. A class is a connected group of links; equal texts are one class whatever they hold.
 
 Cases: a null text counts as empty; all empty texts are one class; a text without words is alike only to equal texts;
 repeated rows are equal texts; a null doc_id keeps its row and its class; an empty table gives an empty table; other
@@ -24,11 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, column, link_buckets, linked, save, small, strings, two_hashes
+from .common import WordCache, column, linked, save, searched, small, strings, two_hashes
 
 WIDTH, WORDS = 256, 4
 SHINGLE, SIMILARITY = 5, 0.8
-TABLES, BITS, CAP, MORE = 32, 12, 4096, 12
+TABLES, BITS, CAP = 32, 12, 4096
 TIGHT, LOOSE, SURE = 20, 60, 32
 
 _word = re.compile(r"\w+")
@@ -89,11 +89,11 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _coordinates() -> np.ndarray:
     draw = np.random.default_rng(20_240_229)
-    return np.stack([draw.permutation(WIDTH)[: BITS + MORE] for _ in range(TABLES)])
+    return np.stack([draw.permutation(WIDTH)[:BITS] for _ in range(TABLES)])
 
 
 def _deal():
-    """Rows for every table: its bucket, and the MORE coordinates that a large bucket takes bits from."""
+    """Rows for every table, with its bucket."""
     picks = _coordinates()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,11 +102,10 @@ def _deal():
                 batch = whole.slice(k, 2_000)
                 sig = np.stack([column(batch, f"s{j}") for j in range(WORDS)], axis=1).astype(np.int64)
                 bits = np.unpackbits(np.ascontiguousarray(sig).view(np.uint8), axis=1).astype(np.int64)
-                keys = np.stack([(t << 40) | (bits[:, p[:BITS]] @ (1 << np.arange(BITS))) for t, p in enumerate(picks)], axis=1)
-                more = np.stack([bits[:, p[BITS:]] @ (1 << np.arange(MORE)) for p in picks], axis=1)
+                keys = np.stack([(t << 40) | (bits[:, p] @ (1 << np.arange(BITS))) for t, p in enumerate(picks)], axis=1)
                 row = np.repeat(np.arange(batch.num_rows), TABLES)
-                arrays = [pa.array(keys.reshape(-1)), pa.array(more.reshape(-1))] + [pa.array(column(batch, c)[row]) for c in ("h0", "n", *[f"s{j}" for j in range(WORDS)])]
-                yield pa.RecordBatch.from_arrays(arrays, ["bucket", "more", "h0", "n", *[f"s{j}" for j in range(WORDS)]])
+                arrays = [pa.array(keys.reshape(-1))] + [pa.array(column(batch, c)[row]) for c in ("h0", "n", *[f"s{j}" for j in range(WORDS)])]
+                yield pa.RecordBatch.from_arrays(arrays, ["bucket", "h0", "n", *[f"s{j}" for j in range(WORDS)]])
 
     return run
 
@@ -140,13 +139,7 @@ def near_links(docs: DataFrame, sketch: DataFrame) -> DataFrame:
     """(node, root), structs of h0 and h1: the different texts that verified candidates connect; see components."""
     sig = [f"s{j}" for j in range(WORDS)]
     nodes = save(sketch.filter("n > 0").groupBy("h0", "h1").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in sig]), "nodes")
-    dealt = nodes.select("h0", "n", *sig).mapInArrow(_deal(), f"bucket long, more long, h0 long, n int, {', '.join(f'{s} long' for s in sig)}")
-    # as in link_buckets, a sixteenth of the rows settles which buckets get more bits
-    seen = dealt.filter(F.pmod(F.shiftrightunsigned("h0", 20), F.lit(16)) == 0).groupBy("bucket").agg((F.count(F.lit(1)) * 16).alias("rows"))
-    heavy = save(seen.filter(F.col("rows") > CAP).select("bucket", F.least(F.ceil(F.log2(F.col("rows") / CAP)) + 1, F.lit(MORE)).cast("int").alias("bits")), "over")
-    if heavy.head(1):
-        dealt = dealt.join(small(heavy), "bucket", "left").withColumn("bucket", F.expr("case when bits is null then bucket else bucket + shiftleft(1L + (more & (shiftleft(1L, bits) - 1L)), 48) end"))
-    near = link_buckets(dealt.select("bucket", "h0", "n", *sig), WORDS, TIGHT, LOOSE, CAP, name="near", ratio=SIMILARITY, sure=SURE)
+    dealt = nodes.select("h0", "n", *sig).mapInArrow(_deal(), f"bucket long, h0 long, n int, {', '.join(f'{s} long' for s in sig)}")
     signed = lambda rows: rows.join(nodes.select("h0", "n", *sig), "h0")
     text = F.coalesce(F.col("text"), F.lit(""))
     h0, h1 = two_hashes(text)
@@ -166,7 +159,7 @@ def near_links(docs: DataFrame, sketch: DataFrame) -> DataFrame:
         exact = open_.join(own("u", "a"), ["u0", "u1"]).join(own("v", "b"), ["v0", "v1"]).mapInArrow(_jaccard, "u0 long, u1 long, v0 long, v1 long")
         return exact.unionByName(marked.filter("sure").drop("sure")).select(node("u").alias("u"), node("v").alias("v"))
 
-    return linked([(near, signed, LOOSE, SIMILARITY)], verify, "near", WORDS)
+    return linked([searched(dealt, signed, WORDS, TIGHT, LOOSE, CAP, "near", SIMILARITY, sure=SURE)], verify, "near", WORDS)
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from quern.llm import common
 from quern.llm.common import link_buckets, save
 
 
@@ -69,3 +70,32 @@ def test_pairs_that_trees_leave_apart_are_verified(spark):
         signed = lambda some: some.join(rows.select("h0", "n", "s0"), "h0")
         got = {(r.node.h0, r.root.h0) for r in linked([(found, signed, 3, 0.0)], verify, "test", 1).collect()}
         assert got == {(2, 1), (20, 5)}
+
+
+def test_split_buckets_link_what_their_leaders_miss(spark):
+    # all rows are near each other by signature, so that each part has one leader, but only some pairs are alike in truth
+    from pyspark.sql import functions as F
+
+    from quern.llm.common import linked, searched
+
+    draw = np.random.default_rng(4)
+    sigs = [sum(1 << int(b) for b in draw.choice(60, 2, replace=False)) for _ in range(120)]
+    rows = _bucket(spark, sigs)
+    truth = {tuple(sorted(map(int, draw.choice(120, 2, replace=False)))) for _ in range(40)}
+
+    def verify(pairs):
+        ok = F.concat_ws(",", "a0", "b0").isin([f"{a},{b}" for a, b in truth])
+        end = lambda x: F.struct(F.col(x).alias("h0"), F.col(x).alias("h1"))
+        return pairs.filter(ok).select(end("a0").alias("u"), end("b0").alias("v"))
+
+    signed = lambda some: some.join(rows.select("h0", "n", "s0"), "h0")
+    want = list(range(120))
+    for _ in range(120):
+        for a, b in truth:
+            want[a] = want[b] = min(want[a], want[b])
+    own = common.rest_of_buckets.__defaults__
+    for block in (8192, 16):
+        common.rest_of_buckets.__defaults__ = (*own[:-1], block)
+        got = {r.node.h0: r.root.h0 for r in linked([searched(rows, signed, 1, 4, 4, 10, "test", 0.0)], verify, "test", 1).collect()}
+        assert [got.get(k, k) for k in range(120)] == want
+    common.rest_of_buckets.__defaults__ = own
