@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, link_buckets, linked, save, small, strings
+from .common import BROADCAST_ROWS, linked, save, searched, small, strings
 
 BITS, NEAR, SIMILARITY, CAP = 64, 3, 0.8, 1024
 #: Bits in which SimHashes may differ where MinHash bands search, too.
@@ -361,11 +361,11 @@ def fuzzy_links(docs: DataFrame, distinct: DataFrame, cap: int = CAP, *, grams:
     """(node, root), structs of h0 and h1: the distinct lines that alike candidates connect; see components."""
     signed = lambda rows: rows.join(distinct.select("h0", "n", "s0"), "h0")
     near = NEAR_TOO if grams else NEAR
-    searches = [(link_buckets(_buckets(distinct, cap, near), 1, near, near, cap, name="line-pairs", ratio=SIMILARITY), signed, near, SIMILARITY)]
+    searches = [searched(_buckets(distinct, cap, near), signed, 1, near, near, cap, "line-pairs", SIMILARITY)]
     if grams:
         sketch = F.when(F.col("bucket") >= F.lit(64 << 32), F.col("low")).otherwise(F.col("s0")).alias("s0")
         signed = lambda rows: rows.join(distinct.select("h0", "n", "s0", "low"), "h0").select(*rows.columns, "n", sketch)
-        searches.append((link_buckets(_band_rows(distinct), 1, NEAR, LOOSE, cap, name="gram-pairs", ratio=SIMILARITY, other=(64 << 32, LOOSE_SHORT)), signed, LOOSE, SIMILARITY))
+        searches.append(searched(_band_rows(distinct), signed, 1, NEAR, LOOSE, cap, "gram-pairs", SIMILARITY, other=(64 << 32, LOOSE_SHORT)))
     pairs = functools.reduce(DataFrame.unionByName, [found.filter("kind = 0").select("a0", "b0") for found, *_ in searches])
     ends = pairs.select(F.col("a0").alias("h0")).unionByName(pairs.select(F.col("b0").alias("h0"))).distinct()
     places = distinct.join(small(save(ends, "line-ends")), "h0").select("h0", "h1", "dk")

@@ -49,3 +49,15 @@ def test_documents_lose_what_edits_say(spark, documents):
     out = line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string"), grams=True).collect()
     left = {line_dedup.normalised(line) for r in out for line in (r.text or "").split("\n")}
     assert len(links) > 5 and sum(a in left and b in left for a, b in links) <= 0.05 * len(links)
+
+
+def test_lines_of_the_same_words_meet_in_split_blocks(spark):
+    # one SimHash for all of them; each text is like its partner alone, whose last two words are swapped
+    draw = np.random.default_rng(3)
+    words = ["alpha", "bravo", "delta", "gamma", "hotel", "india", "lemon", "mango", "novel", "ocean", "piano", "queen"]
+    orders = [[str(w) for w in draw.permutation(words)] for _ in range(24)]
+    lines = [" ".join(x) for o in orders for x in (o, [*o[:-2], o[-1], o[-2]])]
+    links = {(a, b) for a in range(48) for b in range(a + 1, 48) if line_dedup.alike(lines[a], lines[b])}
+    assert links == {(a, a + 1) for a in range(0, 48, 2)}
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.removed_lines(docs, 5).collect()} == set(range(1, 48, 2))
