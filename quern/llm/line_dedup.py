@@ -4,7 +4,7 @@ A line is normalised (lower case, ASCII white space as single spaces, none at th
 first counted together. Distinct lines get a 64-bit SimHash of their words. Two of them are candidates if their SimHashes
 differ in at most 3 bits: then one of four blocks of 16 bits is equal, which is what is joined on (with `grams` 2 bits and
 three blocks of 21). A block value that more than CAP lines share is split by a second pigeonhole step, as many blocks of
-the other bits, which is exact as well, and what is still too large by parts whose leaders meet again. With `grams`, which the query and the pipeline
+the other bits, which is exact as well, and what is still too large is compared whole, two blocks of rows at a time. With `grams`, which the query and the pipeline
 set, candidates are also those of MinHash over the lines' runs of bytes (GRAMS), which survive changed words: minima are
 taken, a few of them make a band, and lines that share a band meet if their sketches (the SimHash of a longer line, low
 bits of the minima of a short one) differ in at most LOOSE (LOOSE_SHORT) bits and their lengths allow the similarity. Candidates are
