@@ -366,15 +366,24 @@ def fuzzy_links(docs: DataFrame, distinct: DataFrame, cap: int = CAP, *, grams:
         sketch = F.when(F.col("bucket") >= F.lit(64 << 32), F.col("low")).otherwise(F.col("s0")).alias("s0")
         signed = lambda rows: rows.join(distinct.select("h0", "n", "s0", "low"), "h0").select(*rows.columns, "n", sketch)
         searches.append(searched(_band_rows(distinct), signed, 1, NEAR, LOOSE, cap, "gram-pairs", SIMILARITY, other=(64 << 32, LOOSE_SHORT)))
-    pairs = functools.reduce(DataFrame.unionByName, [found.filter("kind = 0").select("a0", "b0") for found, *_ in searches])
-    ends = pairs.select(F.col("a0").alias("h0")).unionByName(pairs.select(F.col("b0").alias("h0"))).distinct()
-    places = distinct.join(small(save(ends, "line-ends")), "h0").select("h0", "h1", "dk")
-    wanted = save(places.groupBy("dk").agg(F.collect_list(F.struct("h0", "h1")).alias("wanted")), "line-places")
-    found = _document(docs).join(small(wanted, BROADCAST_ROWS // 4), "dk").select("text", "wanted").mapInArrow(_texts, "h0 long, h1 long, text string")
-    texts = save(found.dropDuplicates(["h0", "h1"]), "line-texts")
+    texts: list[DataFrame] = []
+
+    def fetch(ends: DataFrame) -> DataFrame:
+        places = distinct.join(small(ends), "h0").select("h0", "h1", "dk")
+        wanted = save(places.groupBy("dk").agg(F.collect_list(F.struct("h0", "h1")).alias("wanted")), "line-places")
+        found = _document(docs).join(small(wanted, BROADCAST_ROWS // 4), "dk").select("text", "wanted").mapInArrow(_texts, "h0 long, h1 long, text string")
+        return save(found.dropDuplicates(["h0", "h1"]), "line-texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda x, y: texts.select(F.col("h0").alias(f"{x}0"), F.col("h0").alias(f"{y}0"), F.col("h1").alias(f"{y}1"), F.col("text").alias(f"t{x}"))
+        # the rest of a split bucket has lines that no forest links; their texts are not there yet
+        ends = pairs.select(F.col("a0").alias("h0")).unionByName(pairs.select(F.col("b0").alias("h0"))).distinct()
+        for known in texts:
+            ends = ends.join(known.select("h0"), "h0", "left_anti")
+        ends = save(ends, "line-ends")
+        if not texts or ends.head(1):
+            texts.append(fetch(ends))
+        known = functools.reduce(DataFrame.unionByName, texts)
+        side = lambda x, y: known.select(F.col("h0").alias(f"{x}0"), F.col("h0").alias(f"{y}0"), F.col("h1").alias(f"{y}1"), F.col("text").alias(f"t{x}"))
         full = pairs.select("a0", "b0").join(side("a", "u"), "a0").join(side("b", "v"), "b0")
         good = full.select("u0", "u1", "v0", "v1", "ta", "tb").mapInArrow(_verified, "u0 long, u1 long, v0 long, v1 long")
         return good.select(F.struct(F.col("u0").alias("h0"), F.col("u1").alias("h1")).alias("u"), F.struct(F.col("v0").alias("h0"), F.col("v1").alias("h1")).alias("v"))

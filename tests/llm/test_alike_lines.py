@@ -61,3 +61,20 @@ def test_lines_of_the_same_words_meet_in_split_blocks(spark):
     assert links == {(a, a + 1) for a in range(0, 48, 2)}
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     assert {r.doc_id for r in line_dedup.removed_lines(docs, 5).collect()} == set(range(1, 48, 2))
+
+
+def test_the_pipeline_compares_rows_of_a_split_block_that_no_forest_links(spark, monkeypatch):
+    # one SimHash for the lines of a set; its two short ones share no band, nor a size with the long ones that lead their parts
+    import corpus_pipeline
+
+    draw = np.random.default_rng(6)
+    sets = [x.split() for x in ("kpcynilk hpxxestm rvcmaznh bdhvzhiw cppnvchu hblzuwhh", "ujdduqgm eiugzsbi iozgetqj smxyisnt jiavnknz vxjrnvso", "jkcekwko hfecbkoc xmwskihe njmervoc etiizslu hdmthyho", "wfbwzppc oauwagzc urqshxmn tibiqfuq rygcikaj zcypyzph")]
+    rows = []
+    for words in sets:
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " - ".join(words))]
+        for _ in range(40):
+            rows.append((len(rows), " ".join(str(w) for _ in range(3) for w in draw.permutation(words))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(line_dedup.removed_lines, "__defaults__", (20,))
+    left = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert {k for k, text in left.items() if not text} == set(range(1, len(rows), 42))
