@@ -19,6 +19,7 @@ table; other columns are kept unchanged whatever their names.
 
 from __future__ import annotations
 
+import bisect
 import functools
 from collections.abc import Iterator
 
@@ -38,6 +39,8 @@ LOOSE, LOOSE_SHORT = 20, 17
 SHORT, GRAMS = 80, ((6, 4, 10), (5, 3, 14))
 #: Minima of a longer line, of a short one.
 BINS = (64, 64)
+#: Pairs whose distances are worked out together: at most, at least, the longest of them, and numbers of their table.
+LANES, FEW, LONGEST, TABLE = 2048, 48, 4096, 1 << 22
 
 _odd = np.random.default_rng(77).integers(1, 2**63, 64).astype(np.uint64) | np.uint64(1)
 _letter = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
@@ -325,15 +328,72 @@ def _bound(x: list[str], y: list[str], most: int, ahead: int = 40) -> int:
     return bound + max(sum(len(w) + 1 for w in x[i:]), sum(len(w) + 1 for w in y[j:]))
 
 
-def alike(a: str, b: str) -> bool:
-    """Whether the edit similarity is SIMILARITY or more.
+def _within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """Whether the edit distance of each pair is at most `most`, which the difference of its lengths does not exceed.
+
+    Columns as bits as in `_distance`, in words of 64 rows, a pair to a lane of arrays; word w is one column behind word
+    w - 1, so that one step is taken for all words. A word takes part only while it is within the largest `most` of the
+    diagonal: what lies outside counts as a step from it, never too little, and no path of `most` steps leads there. The
+    texts of a pair get a common end, which changes no distance, so that all the second ones have one length.
+    """
+    lanes, columns, reach = len(a), max(map(len, b)), max(1, int(most.max()))
+    ends = [" " * (columns - len(x)) for x in b]
+    m = np.fromiter((len(x) + len(e) for x, e in zip(a, ends, strict=True)), dtype=np.int64, count=lanes)
+    rows, text = (np.frombuffer("".join(x + e for x, e in zip(side, ends, strict=True)).encode("utf-32-le"), dtype=np.uint32) for side in (a, b))
+    number = np.zeros(0x110000, dtype=np.int32)
+    number[rows] = 1
+    letters = np.flatnonzero(number)
+    number[letters] = np.arange(1, len(letters) + 1)
+    many, width = len(letters) + 1, -(-int(m.max()) // 64)
+    lane, place = np.repeat(np.arange(lanes), m), np.arange(len(rows)) - np.repeat(np.cumsum(m) - m, m)
+    same = np.zeros(lanes * many * width, dtype=np.uint64)
+    np.bitwise_or.at(same, (lane * many + number[rows]) * width + (place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+    code = np.ascontiguousarray(((np.arange(lanes) * many)[:, None] + number[text].reshape(lanes, columns)).T) * width
+    word, one, top = np.arange(width)[:, None], np.uint64(1), np.uint64(63)
+    up, down = np.full((width, lanes), np.iinfo(np.uint64).max, dtype=np.uint64), np.zeros((width, lanes), dtype=np.uint64)
+    # the step of the row above each word
+    more, less = np.ones((width + 1, lanes), dtype=np.uint64), np.zeros((width + 1, lanes), dtype=np.uint64)
+    for j in range(columns + width - 1):
+        first, last = max(0, j - columns + 1, -((63 + reach - j) // 65)), min(width - 1, j, (j + reach) // 65)
+        if first > last:
+            continue
+        own, below = slice(first, last + 1), slice(first + 1, last + 2)
+        at = code[j - last : j - first + 1][::-1] + word[own]
+        eq, p, q = same.take(at), up[own], down[own]
+        x = eq | q
+        eq |= less[own]
+        h = eq & p
+        h += p
+        h ^= p
+        h |= eq
+        minus = p & h
+        h |= p
+        plus = np.invert(h, out=h)
+        plus |= q
+        more_own, less_own = plus << one, minus << one
+        more_own |= more[own]
+        less_own |= less[own]
+        np.right_shift(plus, top, out=more[below])
+        np.right_shift(minus, top, out=less[below])
+        more[first], less[first] = 1, 0
+        np.bitwise_and(more_own, x, out=q)
+        x |= more_own
+        np.invert(x, out=x)
+        np.bitwise_or(less_own, x, out=p)
+    bits = np.clip(m - 64 * word, 0, 64).astype(np.uint64)
+    mask = np.where(bits == 64, np.iinfo(np.uint64).max, (one << (bits & top)) - one)
+    return columns + np.bitwise_count(up & mask).sum(axis=0, dtype=np.int64) - np.bitwise_count(down & mask).sum(axis=0, dtype=np.int64) <= most
+
+
+def _rest(a: str, b: str) -> tuple[bool | None, str, str, int]:
+    """(whether the texts are alike if their lengths and words tell, else null; what differs of each; the distance allowed).
 
     What both begin and end with is left out. The longer rest, and for equally many words the longer of each pair of
-    different words, or an alignment of words, bound the distance from above and decide most pairs; the others are worked out.
+    different words, bound the distance from above.
     """
     most = int((1 - SIMILARITY) * max(len(a), len(b)) + 1e-9)
     if abs(len(a) - len(b)) > most:
-        return False
+        return False, a, b, most
     n = 0
     for size in (4096, 256, 16, 1):
         while n + size <= min(len(a), len(b)) and a[n : n + size] == b[n : n + size]:
@@ -344,17 +404,46 @@ def alike(a: str, b: str) -> bool:
             n += size
     a, b = a[: len(a) - n], b[: len(b) - n]
     if max(len(a), len(b)) <= most:
-        return True
+        return True, a, b, most
     x, y = a.split(" "), b.split(" ")
     if len(x) == len(y) and sum(max(len(u), len(v)) for u, v in zip(x, y, strict=True) if u != v) <= most:
-        return True
-    return (len(a) > 200 and _bound(x, y, most) <= most) or _distance(a, b, most) <= most
+        return True, a, b, most
+    return None, a, b, most
+
+
+def alike(a: str, b: str) -> bool:
+    """Whether the edit similarity is SIMILARITY or more: by `_rest`, an alignment of words, or else the distance."""
+    sure, a, b, most = _rest(a, b)
+    if sure is not None:
+        return sure
+    return (len(a) > 200 and _bound(a.split(" "), b.split(" "), most) <= most) or _distance(a, b, most) <= most
+
+
+def all_alike(left: list[str], right: list[str]) -> np.ndarray:
+    """`alike` of each pair. Pairs of about one length that `_rest` leaves open are worked out together, if they are not few."""
+    rests = [_rest(a, b) for a, b in zip(left, right, strict=True)]
+    out = np.array([bool(sure) for sure, *_ in rests], dtype=bool)
+    size = [max(len(a), len(b)) for _, a, b, _ in rests]
+    todo = sorted((i for i, (sure, *_) in enumerate(rests) if sure is None), key=size.__getitem__)
+    letters = len(set().union(*(rests[i][1] for i in todo))) + 1 if todo else 1
+    while todo:
+        most = size[todo[-1]]
+        lanes = min(LANES, TABLE // max(letters * -(-most // 64), most))
+        some = todo[-lanes:] if most <= LONGEST and lanes >= FEW else []
+        some = some[bisect.bisect_left(some, most // 2, key=size.__getitem__) :]
+        if len(some) < FEW:
+            i = todo.pop()
+            out[i] = alike(left[i], right[i])
+            continue
+        del todo[-len(some) :]
+        out[some] = _within([rests[i][1] for i in some], [rests[i][2] for i in some], np.array([rests[i][3] for i in some]))
+    return out
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = [alike(a, b) for a, b in zip(strings(batch.column("ta")), strings(batch.column("tb")), strict=True)]
-        yield batch.select(["u0", "u1", "v0", "v1"]).filter(pa.array(keep, pa.bool_()))
+        keep = all_alike(list(strings(batch.column("ta"))), list(strings(batch.column("tb"))))
+        yield batch.select(["u0", "u1", "v0", "v1"]).filter(pa.array(keep))
 
 
 def fuzzy_links(docs: DataFrame, distinct: DataFrame, cap: int = CAP, *, grams: bool = False) -> DataFrame:

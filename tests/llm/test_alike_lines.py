@@ -78,3 +78,28 @@ def test_the_pipeline_compares_rows_of_a_split_block_that_no_forest_links(spark,
     monkeypatch.setattr(line_dedup.removed_lines, "__defaults__", (20,))
     left = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
     assert {k for k, text in left.items() if not text} == set(range(1, len(rows), 42))
+
+
+def test_pairs_worked_out_together_are_those_of_each():
+    draw = np.random.default_rng(9)
+    left, right = [], []
+    for k in range(900):
+        size = int(draw.integers(1, (20, 70, 140, 400, 900)[k % 5]))
+        a = list(draw.choice(list("ab é木🙂cdefgh"), size))
+        b = list(a)
+        for _ in range(int(draw.integers(0, max(1, size * 2 // 5) + 1))):
+            i = int(draw.integers(0, len(b) + 1))
+            b[i : i + int(draw.integers(0, 2))] = list(draw.choice(list("ab é木🙂xyz"), int(draw.integers(0, 2))))
+        left.append("".join(a))
+        right.append("".join(b))
+    want = [line_dedup._distance(a, b, 10**6) for a, b in zip(left, right, strict=True)]
+    full = [i for i in range(900) if left[i] and right[i]]
+    for step in (0, 1):  # at the distance, and one below it
+        most = np.array([want[i] - step for i in full])
+        a, b = [left[i] for i in full], [right[i] for i in full]
+        # lanes of other lengths and limits beside it; a limit is at least the difference of the lengths
+        fair = np.maximum(most, [abs(len(x) - len(y)) for x, y in zip(a, b, strict=True)])
+        assert (line_dedup._within(a, b, fair) == (np.array([want[i] for i in full]) <= fair)).all()
+    got = line_dedup.all_alike(left, right)
+    assert got.tolist() == [line_dedup.alike(a, b) for a, b in zip(left, right, strict=True)]
+    assert 100 < got.sum() < 800
