@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import os
 import uuid
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 #: Rows of a block of a large bucket; two blocks are compared at a time.
 BLOCK = 8192
+#: Rows that are packed together.
+PACKED = 1_000_000
 #: Times that the leaders of a split bucket's parts are searched together.
 ROUNDS = 3
 
@@ -70,6 +73,17 @@ def strings(column: pa.Array) -> Iterator[str]:
         yield x.as_py() or ""
 
 
+@functools.cache
+def keep_memory() -> None:
+    """In a worker: arrays of up to 32 MB reuse the memory of others, instead of fetching and zeroing pages each time."""
+    try:
+        libc = ctypes.CDLL(None)
+        for name, value in ((-3, 1 << 25), (-1, 1 << 26), (-2, 1 << 23)):  # mmap threshold, trim threshold, top pad
+            libc.mallopt(name, value)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def two_hashes(text: Column) -> tuple[Column, Column]:
     """128 bits that name a text."""
     return F.xxhash64(text), F.xxhash64(F.lit("quern"), text)
@@ -205,8 +219,8 @@ def _groups_of(table: pa.Table, words: int) -> tuple[np.ndarray, ...]:
     return bucket, part, column(table, "h0"), sig, starts, np.diff(np.r_[starts, len(bucket)])
 
 
-def _links_of(words: int, tight: int, loose: int, every: int, ratio: float = 0.0, sure: int | None = None, other: tuple[int, int] | None = None) -> Callable:
-    """Streams sorted buckets and links near signatures.
+def _links_of(names: list[str], words: int, tight: int, loose: int, every: int, ratio: float = 0.0, sure: int | None = None, other: tuple[int, int] | None = None) -> Callable:
+    """Streams packed buckets and links near signatures.
 
     Buckets of at most `every` rows: all their pairs are compared, all rows with those a few places on at once whatever
     their bucket, and all within `loose` are linked whose sizes allow it (least / greatest n is `ratio` or more). A link
@@ -216,7 +230,8 @@ def _links_of(words: int, tight: int, loose: int, every: int, ratio: float = 0.0
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in complete_groups(batches, ["bucket", "part"]):
+        keep_memory()
+        for table in _unpacked(batches, names, alone=False):
             bucket, part, node, sig, starts, sizes = _groups_of(table, words)
             n = len(bucket)
             length = column(table, "n") if "n" in table.column_names else np.ones(n, dtype=np.int32)
@@ -303,43 +318,166 @@ def _rest_of(words: int, loose: int, ratio: float) -> Callable:
     return run
 
 
-def _leaders_of(words: int, tight: int) -> Callable:
-    """Streams sorted parts of split buckets and returns the rows that lead in their part."""
+def _leaders_of(names: list[str], words: int, tight: int) -> Callable:
+    """Streams packed parts of split buckets and returns the rows that lead in their part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in complete_groups(batches, ["bucket", "part"]):
+        for table in _unpacked(batches, names, alone=True):
             _, _, _, sig, starts, sizes = _groups_of(table, words)
             keep = [start + first for start, size in zip(starts.tolist(), sizes.tolist(), strict=True) for first in _lead(sig[start : start + size], tight)]
             if keep:
-                yield from table.take(pa.array(keep)).combine_chunks().to_batches()
+                yield from table.drop_columns(["part"]).take(pa.array(keep)).combine_chunks().to_batches()
+
+    return run
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A hash of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _record(names: list[str]) -> np.dtype:
+    """A row in a packet; `part` counts parts of a bucket."""
+    return np.dtype([(c, "<i4" if c in ("n", "part") else "<i8") for c in names])
+
+
+def _packed(names: list[str], expand: Callable | None, heavy: tuple[np.ndarray, np.ndarray] | None, cap: int, level: int, shards: int, only: bool) -> Callable:
+    """Streams rows, after `expand` if there is one, to packets (shard, bytes) of many rows, all of a bucket's part in one shard.
+
+    Parts: 0, or in a heavy bucket one of as many as it has times `cap` rows, by a hash of h0. heavy: sorted buckets and
+    their rows; null: the rows have them as `rows`, null in other buckets. only: rows of heavy buckets.
+    """
+
+    def packets(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        shard = mixed(rows["bucket"].astype(np.uint64) + rows["part"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(shards)
+        order = np.argsort(shard, kind="stable")
+        rows, shard = rows[order], shard[order]
+        starts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+        size = rows.dtype.itemsize
+        data = pa.py_buffer(rows.tobytes())
+        offsets = pa.py_buffer((np.r_[starts, len(rows)] * size).astype(np.int32).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(shard[starts].astype(np.int64)), pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, data])], ["shard", "rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
+        held, count = [], 0
+        for whole in batches:
+            for k in range(0, whole.num_rows, 10_000):
+                batch = whole.slice(k, 10_000)
+                for made in expand(batch) if expand else [batch]:
+                    rows = np.zeros(made.num_rows, dtype=_record(names))
+                    for c in names:
+                        if c != "part":
+                            rows[c] = column(made, c)
+                    if heavy is None:
+                        of = np.nan_to_num(column(made, "rows").astype(float)).astype(np.int64)
+                    elif len(heavy[0]):
+                        at = np.minimum(np.searchsorted(heavy[0], rows["bucket"]), len(heavy[0]) - 1)
+                        of = np.where(heavy[0][at] == rows["bucket"], heavy[1][at], 0)
+                    else:
+                        of = np.zeros(len(rows), dtype=np.int64)
+                    dealt = np.flatnonzero(of)
+                    rows["part"][dealt] = mixed(rows["h0"][dealt].astype(np.uint64) + np.uint64(level + 1) * np.uint64(0x632BE59BD9B4E019)) % (-(-of[dealt] // cap)).astype(np.uint64)
+                    if only:
+                        rows = rows[dealt]
+                    held.append(rows)
+                    count += len(rows)
+                if count >= PACKED:
+                    yield packets(held)
+                    held, count = [], 0
+        if count:
+            yield packets(held)
 
     return run
 
 
-def _dealt(rows: DataFrame, cap: int, level: int, heavy: DataFrame | None) -> DataFrame:
-    """rows with part: 0, or in a heavy bucket one of as many as it has times `cap` rows, by a hash of h0."""
-    if heavy is None:
-        return rows.withColumn("part", F.lit(0).cast("long"))
-    part = F.pmod(F.xxhash64("h0", F.lit(level)), F.ceil(F.col("rows") / cap))
-    return rows.join(small(heavy), "bucket", "left").withColumn("part", F.coalesce(part, F.lit(0)).cast("long"))
+def _unpacked(batches: Iterator[pa.RecordBatch], names: list[str], alone: bool, rows: int = 20_000) -> Iterator[pa.Table]:
+    """Tables of whole groups, rows by bucket, part and h0, from packets sorted by shard; alone: also rows alone in theirs."""
+
+    def group(parts: list[bytes]) -> np.ndarray:
+        data = np.frombuffer(b"".join(parts), dtype=_record(names))
+        bucket = data["bucket"].copy()
+        if not alone:
+            order = np.argsort(bucket)
+            same = bucket[order][1:] == bucket[order][:-1]
+            data = data[np.sort(order[np.r_[same, False] | np.r_[False, same]])]
+        return data[np.lexsort((data["h0"], data["part"], data["bucket"]))]
+
+    def table(held: list[np.ndarray]) -> pa.Table:
+        data = np.concatenate(held)
+        return pa.table({c: np.ascontiguousarray(data[c]) for c in names})
+
+    last, parts, held, count = None, [], [], 0
+    for batch in batches:
+        for shard, packet in zip(column(batch, "shard").tolist(), batch.column("rows"), strict=True):
+            if shard != last and parts:
+                held.append(group(parts))
+                count, parts = count + len(held[-1]), []
+                if count >= rows:
+                    yield table(held)
+                    held, count = [], 0
+            last = shard
+            parts.append(packet.as_buffer())
+    if parts:
+        held.append(group(parts))
+        count += len(held[-1])
+    if count:
+        yield table(held)
+
+
+def _by_shard(rows: DataFrame, names: list[str], expand: Callable | None, heavy: DataFrame, cap: int, level: int, only: bool = False) -> DataFrame:
+    """Packets of the rows, sorted by shard; each partition gets 16 shards, about as large as each other."""
+    many = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = 16 * many
+    known = _known(heavy)
+    if known is None:
+        rows, expand = _made(rows, expand, names).join(heavy, "bucket", "left"), None
+    packets = rows.mapInArrow(_packed(names, expand, known, cap, level, shards, only), "shard long, rows binary")
+    return packets.repartitionById(many, F.pmod("shard", F.lit(many)).cast("int")).sortWithinPartitions("shard")
+
+
+def _known(heavy: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Sorted buckets and their rows, if they are few enough to broadcast."""
+    found = heavy.orderBy("bucket").limit(BROADCAST_ROWS + 1).toArrow()
+    return None if found.num_rows > BROADCAST_ROWS else (column(found, "bucket").astype(np.int64), column(found, "rows").astype(np.int64))
+
+
+def _made(rows: DataFrame, expand: Callable | None, names: list[str]) -> DataFrame:
+    """The rows as they are searched."""
+    if expand is None:
+        return rows
+    own = [c for c in names if c != "part"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for made in expand(batch):
+                yield made.select(own)
+
+    return rows.mapInArrow(run, ", ".join(f"{c} {'int' if c == 'n' else 'long'}" for c in own))
 
 
 def _in_order(rows: DataFrame) -> DataFrame:
     return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "h0")
 
 
-def heavy_buckets(rows: DataFrame, cap: int, name: str) -> DataFrame:
+def heavy_buckets(rows: DataFrame, cap: int, name: str, expand: Callable | None = None) -> DataFrame:
     """(bucket, rows) of the buckets of more than `cap` rows, by the sixteenth of the rows whose h0 says so; saved."""
     # small caps are those of tests
     share = 16 if cap >= 256 else 1
-    seen = rows.filter(F.pmod(F.shiftrightunsigned("h0", 20), F.lit(share)) == 0).groupBy("bucket").agg((F.count(F.lit(1)) * share).alias("rows"))
+    some = _made(rows.filter(F.pmod(F.shiftrightunsigned("h0", 20), F.lit(share)) == 0), expand, ["bucket"])
+    seen = some.groupBy("bucket").agg((F.count(F.lit(1)) * share).alias("rows"))
     return save(seen.filter(F.col("rows") > cap), f"{name}-heavy")
 
 
-def link_buckets(rows: DataFrame, words: int, tight: int, loose: int, cap: int, every: int = 64, name: str = "links", ratio: float = 0.0, sure: int | None = None, other: tuple[int, int] | None = None, heavy: DataFrame | None = None) -> DataFrame:
+def link_buckets(rows: DataFrame, words: int, tight: int, loose: int, cap: int, every: int = 64, name: str = "links", ratio: float = 0.0, sure: int | None = None, other: tuple[int, int] | None = None, heavy: DataFrame | None = None, expand: Callable | None = None) -> DataFrame:
     """Candidates (kind, a0, b0, d), see LINKS, between rows of one bucket whose signatures differ in at most `loose` bits; saved.
 
-    rows: bucket long, h0 long, s0... long, and n int if sizes count. Buckets of at most `every` rows give all their
+    rows: bucket long, h0 long, s0... long, and n int if sizes count; with `expand`, any rows with h0, of batches of which
+    it makes batches of those, with n. Rows are dealt in packets of many, as bytes, and a shard's are put in order by arrays.
+    Buckets of at most `every` rows give all their
     pairs (but see _links_of), those up to `cap` a minimum spanning forest, and `rest_of_buckets` gives what is left. A
     bucket of more than `cap` rows (`heavy`, else by `heavy_buckets`) is split into parts of about `cap` rows by a hash of
     h0; each part is searched, and the parts' leaders, then a much smaller bucket, are searched together, again in parts if
@@ -348,31 +486,32 @@ def link_buckets(rows: DataFrame, words: int, tight: int, loose: int, cap: int,
     buckets from there on).
     """
     found = None
-    sized = "n" in rows.columns
-    own = ["h0", *(["n"] if sized else []), *[f"s{i}" for i in range(words)]]
-    rows = rows.select("bucket", *own)
+    own = ["bucket", "h0", *(["n"] if expand or "n" in rows.columns else []), *[f"s{i}" for i in range(words)]]
+    if not expand:
+        rows = rows.select(*own)
+    names = ["bucket", "part", *own[1:]]
     for level in range(ROUNDS):
         if level == ROUNDS - 1:
             cap = max(cap, BLOCK)
         if level or heavy is None:
-            heavy = heavy_buckets(rows, cap, name)
+            heavy = heavy_buckets(rows, cap, name, expand)
         any_heavy = bool(heavy.head(1))
-        dealt = _dealt(rows, cap, level, heavy if any_heavy else None)
-        part = _in_order(dealt.select("bucket", "part", *own)).mapInArrow(_links_of(words, tight, loose, every, ratio, sure, other), LINKS)
+        part = _by_shard(rows, names, expand, heavy, cap, level).mapInArrow(_links_of(names, words, tight, loose, every, ratio, sure, other), LINKS)
         found = part if found is None else found.unionByName(part)
         if not any_heavy or level == ROUNDS - 1:
             break
-        split = _in_order(dealt.filter(F.col("rows").isNotNull()).select("bucket", "part", *own))
-        rows = save(split.mapInArrow(_leaders_of(words, tight), split.schema).drop("part"), f"{name}-leaders")
+        split = _by_shard(rows, names, expand, heavy, cap, level, only=True)
+        rows = save(split.mapInArrow(_leaders_of(names, words, tight), ", ".join(f"{c} {'int' if c == 'n' else 'long'}" for c in own)), f"{name}-leaders")
+        expand = None
     return save(found.groupBy("a0", "b0", F.when(F.col("kind") == LARGE, F.col("d")).alias("k")).agg(F.min("kind").alias("kind"), F.min("d").alias("d")).select("kind", "a0", "b0", "d"), name)
 
 
-def searched(rows: DataFrame, signed: Callable, words: int, tight: int, loose: int, cap: int, name: str, ratio: float, **more) -> tuple:
+def searched(rows: DataFrame, signed: Callable, words: int, tight: int, loose: int, cap: int, name: str, ratio: float, expand: Callable | None = None, **more) -> tuple:
     """A search of `linked`: the candidates of `link_buckets`, what signs its rows, its loose and ratio, and the rows
     (bucket, h0) of the buckets that were split, null if none was."""
-    heavy = heavy_buckets(rows, cap, name)
-    found = link_buckets(rows, words, tight, loose, cap, name=name, ratio=ratio, heavy=heavy, **more)
-    split = rows.join(small(heavy), "bucket", "left_semi").select("bucket", "h0") if heavy.head(1) else None
+    heavy = heavy_buckets(rows, cap, name, expand)
+    found = link_buckets(rows, words, tight, loose, cap, name=name, ratio=ratio, heavy=heavy, expand=expand, **more)
+    split = _made(rows, expand, ["bucket", "h0"]).join(small(heavy), "bucket", "left_semi").select("bucket", "h0") if heavy.head(1) else None
     return found, signed, loose, ratio, split
 
 
@@ -405,8 +544,9 @@ def linked(searches: list[tuple[DataFrame, Callable, int, float]], verify: Calla
     verified first; of the other candidates, those of large buckets included, only what they have not connected.
     """
     ends = ["a0", "b0", "d"]
-    pairs = lambda kind: functools.reduce(DataFrame.unionByName, [found.filter(F.col("kind") == kind).select(*ends) for found, *_ in searches]).groupBy("a0", "b0").agg(F.min("d").alias("d"))
-    found = save(components(verify(pairs(TREE)), f"{name}-parts"), f"{name}-roots")
+    pairs = lambda kind: functools.reduce(DataFrame.unionByName, [found.filter(F.col("kind") == kind).select(*ends) for found, *_ in searches])
+    once = lambda rows: rows.groupBy("a0", "b0").agg(F.min("d").alias("d"))
+    found = save(components(verify(once(pairs(TREE))), f"{name}-parts"), f"{name}-roots")
     root = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     label = save(root.select(F.col("node.h0").alias("h0"), F.col("root.h0").alias("l0"), F.col("root.h1").alias("l1")).dropDuplicates(["h0"]), f"{name}-labels")
     a = label.select(F.col("h0").alias("a0"), F.col("l0").alias("la"), F.col("l1").alias("ma"))
@@ -414,7 +554,7 @@ def linked(searches: list[tuple[DataFrame, Callable, int, float]], verify: Calla
     left = pairs(OTHER).join(small(a), "a0", "left").join(small(b), "b0", "left").filter("la is null or lb is null or la <> lb or ma <> mb").select(*ends)
     for links, signed, loose, ratio, *split in searches:
         left = left.unionByName(rest_of_buckets(links, signed, label, words, loose, ratio, *split).select(*ends))
-    more = save(left.groupBy("a0", "b0").agg(F.min("d").alias("d")), f"{name}-rest")
+    more = save(once(left), f"{name}-rest")
     # links of classes, which connect what the first ones have left apart
     a, b = (found.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "uv")
     links = verify(more).join(small(a), "u", "left").join(small(b), "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))

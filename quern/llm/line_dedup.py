@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import bisect
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, linked, save, searched, small, strings
+from .common import BROADCAST_ROWS, column, heavy_buckets, keep_memory, linked, mixed, save, searched, small, strings
 
 BITS, NEAR, SIMILARITY, CAP = 64, 3, 0.8, 1024
 #: Bits in which SimHashes may differ where MinHash bands search, too.
@@ -39,6 +39,8 @@ LOOSE, LOOSE_SHORT = 20, 17
 SHORT, GRAMS = 80, ((6, 4, 10), (5, 3, 14))
 #: Minima of a longer line, of a short one.
 BINS = (64, 64)
+#: Names of lines that a task remembers.
+SEEN = 1_000_000
 #: Pairs whose distances are worked out together: at most, at least, the longest of them, and numbers of their table.
 LANES, FEW, LONGEST, TABLE = 2048, 48, 4096, 1 << 22
 
@@ -60,12 +62,6 @@ def _lines_of(text: str) -> list[bytes]:
     return data.split(b"\n")
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def simhashes(lines: list[bytes]) -> np.ndarray:
     """A 64-bit SimHash of the words of each normalised line; none may be empty.
 
@@ -81,7 +77,7 @@ def simhashes(lines: list[bytes]) -> np.ndarray:
     place = np.arange(len(raw)) - np.repeat(starts, np.r_[sizes[:-1] + 1, sizes[-1]])
     values = (raw.astype(np.uint64) + np.uint64(1)) * powers[place]
     values[ends] = 0
-    h = _mix(np.add.reduceat(values, starts))
+    h = mixed(np.add.reduceat(values, starts))
     first = np.flatnonzero(np.r_[True, raw[ends] == 10])
     counts = np.diff(np.r_[first, len(h)])
     worth = np.logical_or.reduceat(_letter[raw], starts)
@@ -138,7 +134,7 @@ def long_minima(lines: list[bytes], gram: int, bins: int) -> np.ndarray:
     group = key >> np.uint64(43)
     first = key[np.r_[True, group[1:] != group[:-1]]]
     out = np.full((len(lines), bins), none, dtype=np.uint64)
-    out[(first >> np.uint64(49)).astype(np.int64), (first >> np.uint64(43)).astype(np.int64) & (bins - 1)] = _mix(first & np.uint64((1 << 43) - 1))
+    out[(first >> np.uint64(49)).astype(np.int64), (first >> np.uint64(43)).astype(np.int64) & (bins - 1)] = mixed(first & np.uint64((1 << 43) - 1))
     rows = np.flatnonzero((out == none).any(axis=1))
     while len(rows):
         lent = np.roll(out[rows], -1, axis=1)
@@ -158,7 +154,7 @@ def _bands(least: np.ndarray, rows: int, many: int) -> np.ndarray:
     """32 bits for each band, two bands to a column."""
     value = np.zeros((len(least), many), dtype=np.uint64)
     for k in range(rows):
-        value = _mix(value + least[:, k : many * rows : rows] + np.uint64(k + 1))
+        value = mixed(value + least[:, k : many * rows : rows] + np.uint64(k + 1))
     return np.ascontiguousarray((value >> np.uint64(32)).astype(np.uint32)).view(np.int64)
 
 
@@ -175,14 +171,14 @@ def _banded(lines: list[bytes]) -> list[pa.Array]:
             least = minima([lines[i] for i in s.tolist()], gram, bins)
             bands[s] = _bands(least, rows, many)
             if minima is short_minima:
-                low[s] = np.packbits((_mix(least) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)[:, 0]
+                low[s] = np.packbits((mixed(least) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)[:, 0]
         out += [pa.array(bands[:, k].copy(), mask=~own) for k in range(many // 2)]
     return [pa.array(low, mask=~short), *out]
 
 
 SKETCH = ["s0", "n"]
 WIDE = [*SKETCH, "low", *[f"{x}{k}" for x, (_, _, many) in zip("bc", GRAMS, strict=True) for k in range(many // 2)]]
-_types = {"n": "int"}
+_types = {"n": "int", "line": "int"}
 
 
 def _schema(names: list[str]) -> str:
@@ -194,7 +190,10 @@ def _hashes(lines: list[bytes]) -> np.ndarray:
 
 
 def _lines(batches: Iterator[pa.RecordBatch], sketch: str | None) -> Iterator[pa.RecordBatch]:
-    """A row for each line that is not blank: its document's key and id, its number, its name, with `sketch` what it is searched by."""
+    """A row for each line that is not blank: its document's key and id, its number, its name, with `sketch` what it is
+    searched by, null where an equal line came shortly before."""
+    keep_memory()
+    seen: set[bytes] = set()
     for whole in batches:
         for k in range(0, whole.num_rows, 100):
             batch = whole.slice(k, 100)
@@ -210,8 +209,23 @@ def _lines(batches: Iterator[pa.RecordBatch], sketch: str | None) -> Iterator[pa
             at, h = pa.array(row), _hashes(lines)
             arrays = [pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())]
             if sketch:
-                arrays = [batch.column("dk").take(at), *arrays, pa.array(simhashes(lines).view(np.int64)), pa.array([len(x.decode()) for x in lines], pa.int32()), *(_banded(lines) if sketch == "grams" else [])]
-                names = ["dk", "h0", "h1", *(WIDE if sketch == "grams" else SKETCH)]
+                if len(seen) > SEEN:
+                    seen.clear()
+                new, named, data = [], np.full(len(lines), -1), h.tobytes()
+                for i in range(len(lines)):
+                    name = data[16 * i : 16 * i + 16]
+                    if name not in seen:
+                        seen.add(name)
+                        named[i] = len(new)
+                        new.append(lines[i])
+                if new:
+                    own = [pa.array(simhashes(new).view(np.int64)), pa.array([len(x.decode()) for x in new], pa.int32()), *(_banded(new) if sketch == "grams" else [])]
+                    place = pa.array(named, mask=named < 0)
+                    own = [x.take(place) for x in own]
+                else:
+                    own = [pa.nulls(len(lines), pa.int32() if c == "n" else pa.int64()) for c in (WIDE if sketch == "grams" else SKETCH)]
+                arrays = [batch.column("dk").take(at), pa.array(number, pa.int32()), *arrays, *own]
+                names = ["dk", "line", "h0", "h1", *(WIDE if sketch == "grams" else SKETCH)]
             else:
                 arrays = [batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(number, pa.int32()), *arrays]
                 names = ["doc_id", "th", "line", "h0", "h1"]
@@ -222,42 +236,75 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         h0, h1, out = [], [], []
         for text, wanted in zip(strings(batch.column("text")), batch.column("wanted"), strict=True):
-            left = {(w["h0"], w["h1"]) for w in wanted.as_py()}
-            lines = [x for x in _lines_of(text) if x]
-            for name, line in zip(map(tuple, _hashes(lines).tolist()) if lines else (), lines):
-                if name in left:
-                    left.remove(name)
-                    h0.append(name[0])
-                    h1.append(name[1])
-                    out.append(line.decode())
+            # a line end is no letter and no mark, so that lower case is that of the whole text
+            lines = text.split("\n")
+            for w in wanted.as_py():
+                h0.append(w["h0"])
+                h1.append(w["h1"])
+                out.append(normalised(lines[w["line"]]))
+        if out and not (_hashes([x.encode() for x in out]) == np.array([h0, h1]).T).all():
+            raise RuntimeError("line_dedup: a line is not where it was found")
         yield pa.RecordBatch.from_arrays([pa.array(h0, pa.int64()), pa.array(h1, pa.int64()), pa.array(out, pa.string())], ["h0", "h1", "text"])
 
 
-def _buckets(lines: DataFrame, cap: int = CAP, near: int = NEAR) -> DataFrame:
-    """A row for each block that a line is searched by: near + 1 blocks, of which two lines within `near` bits share one."""
+def _blocks(near: int, over: np.ndarray | None) -> Callable:
+    """Makes a row for each block that a line is searched by: near + 1 blocks, of which two lines within `near` bits share
+    one. over: bits of the block values that are split by as many blocks of the other bits."""
     width, many = 64 // (near + 1), near + 1
-    block = lambda i: F.shiftrightunsigned("s0", width * i).bitwiseAND(F.lit((1 << width) - 1).cast("long")) + F.lit(i << 40).cast("long")
-    first = lines.select("h0", "n", "s0", F.posexplode(F.array(*map(block, range(many)))).alias("i", "bucket"))
-    over = save(first.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cap).select("bucket", F.lit(True).alias("over")), "over")
-    if not over.head(1):
-        return first.select("bucket", "h0", "n", "s0")
-    marked = first.join(small(over), "bucket", "left")
-    # the bits without block i, and a block of them
     own = (64 - width) // many
-    rest = f"((s0 & (shiftleft(1L, {width} * i) - 1L)) | shiftleft(shiftrightunsigned(shiftrightunsigned(s0, {width} * i), {width}), {width} * i))"
-    blocks = ", ".join(f"xxhash64(bucket, {j}, shiftrightunsigned({rest}, {own * j}) & {(1 << own) - 1}L)" for j in range(many))
-    parts = F.expr(f"case when over then array({blocks}) else array(bucket) end")
-    return marked.select(F.explode(parts).alias("bucket"), "h0", "n", "s0")
 
-
-def _band_rows(lines: DataFrame) -> DataFrame:
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        s0 = column(batch, "s0").astype(np.int64).view(np.uint64)
+        at, bucket = [], []
+        for i in range(many):
+            low = np.uint64(width * i)
+            value = (s0 >> low) & np.uint64((1 << width) - 1)
+            block = value + np.uint64(i << 40)
+            split = np.zeros(len(s0), dtype=bool)
+            if over is not None:
+                place = (value + np.uint64(i << width)).astype(np.int64)
+                split = (over[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+            at.append(np.flatnonzero(~split))
+            bucket.append(block[~split])
+            if split.any():
+                # the bits without block i, and a block of them
+                bits, block, rows = s0[split], block[split], np.flatnonzero(split)
+                above = low + np.uint64(width)
+                rest = bits & np.uint64((1 << (width * i)) - 1)
+                if above < 64:
+                    rest = rest | ((bits >> above) << low)
+                for j in range(many):
+                    at.append(rows)
+                    bucket.append(mixed(mixed(block + np.uint64((j + 1) << 48)) + ((rest >> np.uint64(own * j)) & np.uint64((1 << own) - 1))))
+        rows = batch.select(["h0", "n", "s0"]).take(pa.array(np.concatenate(at)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bucket).view(np.int64)), *rows.columns], ["bucket", "h0", "n", "s0"])
+
+    return run
+
+
+def _buckets(lines: DataFrame, cap: int = CAP, near: int = NEAR) -> Callable:
+    """The blocks by which lines are searched; those of more than `cap` lines, by `heavy_buckets`, are split."""
+    width = 64 // (near + 1)
+    found = column(heavy_buckets(lines, cap, "over", _blocks(near, None)).select("bucket").toArrow(), "bucket").astype(np.int64)
+    if not len(found):
+        return _blocks(near, None)
+    # a bit for each value that a block can have, whatever the number of lines
+    over = np.zeros(((near + 1) << width) // 8, dtype=np.uint8)
+    place = ((found >> 40) << width) + (found & ((1 << width) - 1))
+    np.bitwise_or.at(over, place >> 3, np.uint8(1) << (place & 7).astype(np.uint8))
+    return _blocks(near, over)
+
+
+def _band_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A row for each band of a line: short and longer lines have bands of their own."""
-    out = None
     for x, sketch, (_, _, many) in zip("bc", ("s0", "low"), GRAMS, strict=True):
-        half = [F.shiftrightunsigned(f"{x}{k // 2}", 32 * (k % 2)).bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit((64 * (x == "c") + k) << 32) for k in range(many)]
-        part = lines.filter(F.col(f"{x}0").isNotNull()).select(F.explode(F.array(*half)).alias("bucket"), "h0", "n", F.col(sketch).alias("s0"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        own = batch.filter(batch.column(f"{x}0").is_valid())
+        if not own.num_rows:
+            continue
+        half = np.stack([column(own, f"{x}{k}").astype(np.int64) for k in range(many // 2)], axis=1).view(np.uint32).astype(np.int64)
+        half += (np.arange(many) + 64 * (x == "c")) << 32
+        rest = [np.repeat(column(own, c), many) for c in ("h0", "n", sketch)]
+        yield pa.RecordBatch.from_arrays([pa.array(half.reshape(-1)), *map(pa.array, rest)], ["bucket", "h0", "n", "s0"])
 
 
 def _document(docs: DataFrame) -> DataFrame:
@@ -328,13 +375,29 @@ def _bound(x: list[str], y: list[str], most: int, ahead: int = 40) -> int:
     return bound + max(sum(len(w) + 1 for w in x[i:]), sum(len(w) + 1 for w in y[j:]))
 
 
+def _least(up: np.ndarray, down: np.ndarray, more: np.ndarray, less: np.ndarray, first: int, last: int, j: int, m: np.ndarray, columns: int) -> np.ndarray:
+    """A lower bound of each lane's distance after step j of `_within`: the least that a cell of the words' columns has come
+    to and has still to go. A path may pass between the columns of two words, beside a cell; hence 3 less."""
+    top = j - first + 1 + (np.bitwise_count(up[:first]).sum(axis=0, dtype=np.int64) - np.bitwise_count(down[:first]).sum(axis=0, dtype=np.int64))
+    found = np.full(len(m), np.iinfo(np.int64).max)
+    for w in range(first, last + 1):
+        at = j - w + 1
+        steps = [np.unpackbits(v[w].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.int8) for v in (up, down)]
+        cells = np.cumsum(steps[0] - steps[1], axis=1, dtype=np.int32)
+        left = (m - (columns - at) - 64 * w - 1).astype(np.int32)[:, None] - np.arange(64, dtype=np.int32)
+        found = np.minimum(found, np.minimum(top + np.abs(left[:, 0] + 1), top + (cells + np.abs(left)).min(axis=1)))
+        top = top + cells[:, -1] - (more[w + 1].astype(np.int64) - less[w + 1].astype(np.int64))
+    return found - 3
+
+
 def _within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
     """Whether the edit distance of each pair is at most `most`, which the difference of its lengths does not exceed.
 
     Columns as bits as in `_distance`, in words of 64 rows, a pair to a lane of arrays; word w is one column behind word
     w - 1, so that one step is taken for all words. A word takes part only while it is within the largest `most` of the
     diagonal: what lies outside counts as a step from it, never too little, and no path of `most` steps leads there. The
-    texts of a pair get a common end, which changes no distance, so that all the second ones have one length.
+    texts of a pair get a common end, which changes no distance, so that all the second ones have one length. A few times on
+    the way, lanes are left out whose cells all have too far to go.
     """
     lanes, columns, reach = len(a), max(map(len, b)), max(1, int(most.max()))
     ends = [" " * (columns - len(x)) for x in b]
@@ -353,6 +416,7 @@ def _within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
     up, down = np.full((width, lanes), np.iinfo(np.uint64).max, dtype=np.uint64), np.zeros((width, lanes), dtype=np.uint64)
     # the step of the row above each word
     more, less = np.ones((width + 1, lanes), dtype=np.uint64), np.zeros((width + 1, lanes), dtype=np.uint64)
+    out, alive, step = np.zeros(lanes, dtype=bool), np.arange(lanes), max(32, columns // 8)
     for j in range(columns + width - 1):
         first, last = max(0, j - columns + 1, -((63 + reach - j) // 65)), min(width - 1, j, (j + reach) // 65)
         if first > last:
@@ -380,9 +444,17 @@ def _within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
         x |= more_own
         np.invert(x, out=x)
         np.bitwise_or(less_own, x, out=p)
+        if j % step == step - 1 and j < columns - 32:
+            near = _least(up, down, more, less, first, last, j, m, columns) <= most
+            if near.sum() <= 0.8 * len(alive):
+                alive, m, most, code = alive[near], m[near], most[near], np.ascontiguousarray(code[:, near])
+                up, down, more, less = (np.ascontiguousarray(v[:, near]) for v in (up, down, more, less))
+                if not len(alive):
+                    return out
     bits = np.clip(m - 64 * word, 0, 64).astype(np.uint64)
     mask = np.where(bits == 64, np.iinfo(np.uint64).max, (one << (bits & top)) - one)
-    return columns + np.bitwise_count(up & mask).sum(axis=0, dtype=np.int64) - np.bitwise_count(down & mask).sum(axis=0, dtype=np.int64) <= most
+    out[alive] = columns + np.bitwise_count(up & mask).sum(axis=0, dtype=np.int64) - np.bitwise_count(down & mask).sum(axis=0, dtype=np.int64) <= most
+    return out
 
 
 def _rest(a: str, b: str) -> tuple[bool | None, str, str, int]:
@@ -441,6 +513,7 @@ def all_alike(left: list[str], right: list[str]) -> np.ndarray:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keep_memory()
     for batch in batches:
         keep = all_alike(list(strings(batch.column("ta"))), list(strings(batch.column("tb"))))
         yield batch.select(["u0", "u1", "v0", "v1"]).filter(pa.array(keep))
@@ -450,17 +523,18 @@ def fuzzy_links(docs: DataFrame, distinct: DataFrame, cap: int = CAP, *, grams:
     """(node, root), structs of h0 and h1: the distinct lines that alike candidates connect; see components."""
     signed = lambda rows: rows.join(distinct.select("h0", "n", "s0"), "h0")
     near = NEAR_TOO if grams else NEAR
-    searches = [searched(_buckets(distinct, cap, near), signed, 1, near, near, cap, "line-pairs", SIMILARITY)]
+    searches = [searched(distinct.select("h0", "n", "s0"), signed, 1, near, near, cap, "line-pairs", SIMILARITY, _buckets(distinct.select("h0", "n", "s0"), cap, near))]
     if grams:
         sketch = F.when(F.col("bucket") >= F.lit(64 << 32), F.col("low")).otherwise(F.col("s0")).alias("s0")
         signed = lambda rows: rows.join(distinct.select("h0", "n", "s0", "low"), "h0").select(*rows.columns, "n", sketch)
-        searches.append(searched(_band_rows(distinct), signed, 1, NEAR, LOOSE, cap, "gram-pairs", SIMILARITY, other=(64 << 32, LOOSE_SHORT)))
+        searches.append(searched(distinct.select("h0", *WIDE), signed, 1, NEAR, LOOSE, cap, "gram-pairs", SIMILARITY, _band_rows, other=(64 << 32, LOOSE_SHORT)))
     texts: list[DataFrame] = []
 
     def fetch(ends: DataFrame) -> DataFrame:
-        places = distinct.join(small(ends), "h0").select("h0", "h1", "dk")
-        wanted = save(places.groupBy("dk").agg(F.collect_list(F.struct("h0", "h1")).alias("wanted")), "line-places")
+        places = distinct.join(small(ends), "h0").select("h0", "h1", "dk", "line")
+        wanted = save(places.groupBy("dk").agg(F.collect_list(F.struct("h0", "h1", "line")).alias("wanted")), "line-places")
         found = _document(docs).join(small(wanted, BROADCAST_ROWS // 4), "dk").select("text", "wanted").mapInArrow(_texts, "h0 long, h1 long, text string")
+        # rows equal in id and text give a line each
         return save(found.dropDuplicates(["h0", "h1"]), "line-texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -483,9 +557,10 @@ def fuzzy_links(docs: DataFrame, distinct: DataFrame, cap: int = CAP, *, grams:
 def removed_lines(docs: DataFrame, cap: int = CAP, *, grams: bool = False) -> DataFrame:
     """(doc_id, th, lines): the numbers of the lines that go, for the documents that lose any; saved."""
     own = WIDE if grams else SKETCH
-    lines = _document(docs).select("dk", "text").mapInArrow(functools.partial(_lines, sketch="grams" if grams else "words"), _schema(["dk", "h0", "h1", *own]))
-    # longs and ints only, which hash aggregation takes
-    distinct = save(lines.groupBy("h0", "h1").agg(F.min("dk").alias("dk"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in own]), "distinct-lines")
+    lines = _document(docs).select("dk", "text").mapInArrow(functools.partial(_lines, sketch="grams" if grams else "words"), _schema(["dk", "line", "h0", "h1", *own]))
+    # longs and ints only, which hash aggregation takes; the first of both is that of one row
+    places = [F.first(c).alias(c) for c in ("dk", "line")]
+    distinct = save(lines.groupBy("h0", "h1").agg(*places, F.count(F.lit(1)).alias("copies"), *[F.first(c, ignorenulls=True).alias(c) for c in own]), "distinct-lines")
     found = fuzzy_links(docs, distinct, cap, grams=grams)
     member = save(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).select("node.h0", "node.h1", "root"), "line-members")
     repeated = distinct.filter("copies > 1").select("h0", "h1").join(small(member), ["h0", "h1"], "left_anti").select("h0", "h1", F.struct("h0", "h1").alias("root"))

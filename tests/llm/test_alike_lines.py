@@ -1,5 +1,7 @@
 """Recall of the line search against the edit similarity alone, without any filter."""
 
+import functools
+
 import numpy as np
 
 from quern.llm import line_dedup
@@ -103,3 +105,40 @@ def test_pairs_worked_out_together_are_those_of_each():
     got = line_dedup.all_alike(left, right)
     assert got.tolist() == [line_dedup.alike(a, b) for a, b in zip(left, right, strict=True)]
     assert 100 < got.sum() < 800
+
+
+def test_lines_are_searched_by_packets_not_by_a_row_for_each_band(spark, documents):
+    # a line is searched by 3 blocks and 10 or 14 bands
+    from quern.llm import common
+
+    docs = line_dedup._document(documents).select("dk", "text")
+    lines = docs.mapInArrow(functools.partial(line_dedup._lines, sketch="grams"), line_dedup._schema(["dk", "line", "h0", "h1", *line_dedup.WIDE]))
+    lines = common.save(lines.filter("n is not null"), "test-lines")
+    names = ["bucket", "part", "h0", "n", "s0"]
+    heavy = common.heavy_buckets(lines, line_dedup.CAP, "test", line_dedup._band_rows)
+    packets = common._by_shard(lines, names, line_dedup._band_rows, heavy, line_dedup.CAP, 0)
+    packed, own = packets.selectExpr("count(*)", "sum(octet_length(rows))").head()
+    rows = lines.selectExpr("sum(if(b0 is null, 0, 10) + if(c0 is null, 0, 14))").head()[0]
+    assert own == rows * common._record(names).itemsize and rows > 10_000 and packed <= rows / 20
+
+
+def test_pairs_that_are_far_apart_are_left_out_early(monkeypatch):
+    draw = np.random.default_rng(4)
+    left = ["".join(draw.choice(list("abcdefghijkl "), 400)) for _ in range(200)]
+    right = ["".join(draw.choice(list("abcdefghijkl "), 400)) if k % 4 else x[:200] + "z" + x[200:399] for k, x in enumerate(left)]
+    lanes, own = [], line_dedup._least
+    monkeypatch.setattr(line_dedup, "_least", lambda *args: lanes.append(args[0].shape[1]) or own(*args))
+    got = line_dedup._within(left, right, np.full(200, 80))
+    assert got.tolist() == [k % 4 == 0 for k in range(200)]
+    assert lanes[0] == 200 and lanes[-1] == 50
+
+
+def test_a_line_that_comes_again_is_sketched_once(spark):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"dk": [1, 2], "text": ["One line of words.\n\nAnother line.", "another LINE.\none  line of words.\nNew."]})
+    (out,) = line_dedup._lines(iter([batch]), "grams")
+    assert out.column("line").to_pylist() == [0, 2, 0, 1, 2]
+    assert [x is None for x in out.column("s0").to_pylist()] == [False, False, True, True, False]
+    docs = spark.createDataFrame([(1, "One line of words.\n\nAnother line."), (2, "another LINE.\none  line of words.\nNew.")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.report(docs, grams=True).collect()} == {1: "One line of words.\n\nAnother line.", 2: "New."}
