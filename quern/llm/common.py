@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import ctypes
 import functools
 import os
 import uuid
@@ -18,8 +17,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 #: Rows of a block of a large bucket; two blocks are compared at a time.
 BLOCK = 8192
-#: Rows that are packed together.
-PACKED = 1_000_000
+#: Bytes of rows that are packed together; a worker holds them about four times.
+PACKED = 8 << 20
 #: Times that the leaders of a split bucket's parts are searched together.
 ROUNDS = 3
 
@@ -73,17 +72,6 @@ def strings(column: pa.Array) -> Iterator[str]:
         yield x.as_py() or ""
 
 
-@functools.cache
-def keep_memory() -> None:
-    """In a worker: arrays of up to 32 MB reuse the memory of others, instead of fetching and zeroing pages each time."""
-    try:
-        libc = ctypes.CDLL(None)
-        for name, value in ((-3, 1 << 25), (-1, 1 << 26), (-2, 1 << 23)):  # mmap threshold, trim threshold, top pad
-            libc.mallopt(name, value)
-    except (OSError, AttributeError):  # not glibc
-        pass
-
-
 def two_hashes(text: Column) -> tuple[Column, Column]:
     """128 bits that name a text."""
     return F.xxhash64(text), F.xxhash64(F.lit("quern"), text)
@@ -230,7 +218,6 @@ def _links_of(names: list[str], words: int, tight: int, loose: int, every: int,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_memory()
         for table in _unpacked(batches, names, alone=False):
             bucket, part, node, sig, starts, sizes = _groups_of(table, words)
             n = len(bucket)
@@ -362,7 +349,6 @@ def _packed(names: list[str], expand: Callable | None, heavy: tuple[np.ndarray,
         return pa.RecordBatch.from_arrays([pa.array(shard[starts].astype(np.int64)), pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, data])], ["shard", "rows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_memory()
         held, count = [], 0
         for whole in batches:
             for k in range(0, whole.num_rows, 10_000):
@@ -385,7 +371,7 @@ def _packed(names: list[str], expand: Callable | None, heavy: tuple[np.ndarray,
                         rows = rows[dealt]
                     held.append(rows)
                     count += len(rows)
-                if count >= PACKED:
+                if count * _record(names).itemsize >= PACKED:
                     yield packets(held)
                     held, count = [], 0
         if count:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, column, heavy_buckets, keep_memory, linked, mixed, save, searched, small, strings
+from .common import BROADCAST_ROWS, column, heavy_buckets, linked, mixed, save, searched, small, strings
 
 BITS, NEAR, SIMILARITY, CAP = 64, 3, 0.8, 1024
 #: Bits in which SimHashes may differ where MinHash bands search, too.
@@ -192,7 +192,6 @@ def _hashes(lines: list[bytes]) -> np.ndarray:
 def _lines(batches: Iterator[pa.RecordBatch], sketch: str | None) -> Iterator[pa.RecordBatch]:
     """A row for each line that is not blank: its document's key and id, its number, its name, with `sketch` what it is
     searched by, null where an equal line came shortly before."""
-    keep_memory()
     seen: set[bytes] = set()
     for whole in batches:
         for k in range(0, whole.num_rows, 100):
@@ -513,7 +512,6 @@ def all_alike(left: list[str], right: list[str]) -> np.ndarray:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keep_memory()
     for batch in batches:
         keep = all_alike(list(strings(batch.column("ta"))), list(strings(batch.column("tb"))))
         yield batch.select(["u0", "u1", "v0", "v1"]).filter(pa.array(keep))
