@@ -41,8 +41,10 @@ SHORT, GRAMS = 80, ((6, 4, 10), (5, 3, 14))
 BINS = (64, 64)
 #: Names of lines that a task remembers.
 SEEN = 200_000
+#: Documents of a batch of lines; lines that are sketched together, so that their arrays stay in a core's cache.
+DOCUMENTS, TOGETHER = 100, 150
 #: Pairs whose distances are worked out together: at most, at least, the longest of them, and numbers of their table.
-LANES, FEW, LONGEST, TABLE = 2048, 48, 4096, 1 << 22
+LANES, FEW, LONGEST, TABLE = 2048, 48, 4096, 1 << 20
 
 _odd = np.random.default_rng(77).integers(1, 2**63, 64).astype(np.uint64) | np.uint64(1)
 _letter = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
@@ -172,8 +174,8 @@ def _banded(lines: list[bytes]) -> list[pa.Array]:
     for own, minima, bins, (gram, rows, many) in zip((size > SHORT, short), (long_minima, short_minima), BINS, GRAMS, strict=True):
         at = np.flatnonzero(own)
         bands = np.zeros((len(lines), many // 2), dtype=np.int64)
-        for k in range(0, len(at), 20_000):
-            s = at[k : k + 20_000]
+        for k in range(0, len(at), TOGETHER):
+            s = at[k : k + TOGETHER]
             least = minima([lines[i] for i in s.tolist()], gram, bins)
             bands[s] = _bands(least, rows, many)
             if minima is short_minima:
@@ -200,8 +202,8 @@ def _lines(batches: Iterator[pa.RecordBatch], sketch: str | None) -> Iterator[pa
     searched by, null where an equal line came shortly before."""
     seen: set[bytes] = set()
     for whole in batches:
-        for k in range(0, whole.num_rows, 100):
-            batch = whole.slice(k, 100)
+        for k in range(0, whole.num_rows, DOCUMENTS):
+            batch = whole.slice(k, DOCUMENTS)
             row, number, lines = [], [], []
             for i, text in enumerate(strings(batch.column("text"))):
                 for j, line in enumerate(_lines_of(text)):
@@ -224,7 +226,8 @@ def _lines(batches: Iterator[pa.RecordBatch], sketch: str | None) -> Iterator[pa
                         named[i] = len(new)
                         new.append(lines[i])
                 if new:
-                    own = [pa.array(simhashes(new).view(np.int64)), pa.array([len(x.decode()) for x in new], pa.int32()), *(_banded(new) if sketch == "grams" else [])]
+                    sims = np.concatenate([simhashes(new[k : k + TOGETHER]) for k in range(0, len(new), TOGETHER)])
+                    own = [pa.array(sims.view(np.int64)), pa.array([len(x.decode()) for x in new], pa.int32()), *(_banded(new) if sketch == "grams" else [])]
                     place = pa.array(named, mask=named < 0)
                     own = [x.take(place) for x in own]
                 else:

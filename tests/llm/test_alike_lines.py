@@ -125,3 +125,26 @@ def test_a_line_that_comes_again_is_sketched_once(spark):
     assert [x is None for x in out.column("s0").to_pylist()] == [False, False, True, True, False]
     docs = spark.createDataFrame([(1, "One line of words.\n\nAnother line."), (2, "another LINE.\none  line of words.\nNew.")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in line_dedup.report(docs, grams=True).collect()} == {1: "One line of words.\n\nAnother line.", 2: "New."}
+
+
+def test_arrays_of_a_step_stay_small(monkeypatch):
+    import pyarrow as pa
+
+    draw = np.random.default_rng(12)
+    text = lambda k: "\n".join(" ".join(str(x) for x in draw.integers(0, 10**6, 12)) for _ in range(k % 4))
+    batch = pa.RecordBatch.from_pydict({"dk": list(range(1000)), "text": [text(k) for k in range(1000)]})
+    sizes, own, grams, minima = [], line_dedup.simhashes, [], line_dedup.long_minima
+    monkeypatch.setattr(line_dedup, "long_minima", lambda lines, *more: grams.append(len(lines)) or minima(lines, *more))
+    monkeypatch.setattr(line_dedup, "simhashes", lambda lines: sizes.append(len(lines)) or own(lines))
+    out = list(line_dedup._lines(iter([batch]), "grams"))
+    assert max(sizes) <= 150 and sum(sizes) == 1500
+    assert max(grams, default=0) <= 150
+    assert [x for b in out for x in b.column("dk").to_pylist()] == [k for k in range(1000) for _ in range(k % 4)]
+    names = line_dedup._hashes([x for k in range(1000) for x in line_dedup._lines_of(batch.column("text")[k].as_py()) if x])
+    assert (np.concatenate([np.stack([b.column(c).to_numpy() for c in ("h0", "h1")], axis=1) for b in out]) == names).all()
+    left = ["".join(draw.choice(list("abcdefghijklmnopqrst"), 640)) for _ in range(3000)]
+    right = [x[::-1] for x in left]
+    tables, within = [], line_dedup._within
+    monkeypatch.setattr(line_dedup, "_within", lambda a, b, most: tables.append(len(a) * 21 * 10) or within(a, b, most))
+    assert not line_dedup.all_alike(left, right).any()
+    assert max(tables) <= 1 << 20
